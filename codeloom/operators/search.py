@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from codeloom import constants as K
 from codeloom.functions import vectors
+from codeloom.session import ship_package
 
 QUERY_BLOCK_BYTES = 32 << 20
 
@@ -57,7 +58,9 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _block_top_k(points: DataFrame, block: list, k: int, id_col: str, dim: int) -> DataFrame:
+def _block_top_k(
+    points: DataFrame, block: list, query_type: T.DataType, k: int, id_col: str, dim: int
+) -> DataFrame:
     matrix = np.array([row["vector"] for row in block], dtype="float64")
     sizes = np.linalg.norm(matrix, axis=1)
     unit = matrix / np.where(sizes > 0, sizes, np.nan)[:, None]
@@ -65,7 +68,7 @@ def _block_top_k(points: DataFrame, block: list, k: int, id_col: str, dim: int)
     id_type = points.schema[id_col].dataType
     schema = T.StructType(
         [
-            points.sparkSession.createDataFrame([], "q long").schema["q"],
+            T.StructField("q", T.LongType()),
             T.StructField("id", id_type),
             T.StructField("score", T.DoubleType()),
         ]
@@ -102,18 +105,15 @@ def _block_top_k(points: DataFrame, block: list, k: int, id_col: str, dim: int)
                 schema=out_schema,
             )
 
+    ship_package(points.sparkSession)
     local = points.select(F.col(id_col).alias("id"), "vector").mapInArrow(nearest, schema)
-    names = block_names(points, block)
+    fields = [T.StructField("q", T.LongType()), T.StructField("query_id", query_type)]
+    names = points.sparkSession.createDataFrame(
+        [(i, row["query_id"]) for i, row in enumerate(block)], T.StructType(fields)
+    )
     return local.join(F.broadcast(names), "q").drop("q")
 
 
-def block_names(points: DataFrame, block: list) -> DataFrame:
-    rows = [(i, row["query_id"]) for i, row in enumerate(block)]
-    id_type = T._infer_type(rows[0][1])
-    fields = [T.StructField("q", T.LongType()), T.StructField("query_id", id_type)]
-    return points.sparkSession.createDataFrame(rows, T.StructType(fields))
-
-
 def top_k_batch(
     points: DataFrame,
     queries: DataFrame,
@@ -141,13 +141,14 @@ def top_k_batch(
         # twice as many shares as needed on average keeps every one within its bound
         share = F.pmod(F.xxhash64("query_id"), F.lit(2 * n_blocks))
         blocks = [queries.where(share == b) for b in range(2 * n_blocks)]
+    query_type = queries.schema["query_id"].dataType
     found = []
     for block in blocks:
         rows = block.select("query_id", "vector").limit(4 * per_block + 1).collect()
         if len(rows) > 4 * per_block:
             raise ValueError("query ids are not unique")
         if rows:
-            found.append(_block_top_k(usable, rows, k, id_col, dim))
+            found.append(_block_top_k(usable, rows, query_type, k, id_col, dim))
     candidates = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -155,10 +156,20 @@ def top_k_batch(
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), score.alias("score"))
 
 
-def with_payload(hits: DataFrame, points: DataFrame, id_col: str = "id") -> DataFrame:
-    """Attach ``path``, ``chunk_index`` and ``text`` to the few hits."""
+BROADCAST_HITS = 500_000
+
+
+def with_payload(
+    hits: DataFrame, points: DataFrame, id_col: str = "id", n_hits: int | None = None
+) -> DataFrame:
+    """Attach ``path``, ``chunk_index`` and ``text`` to the hits.
+
+    With a known small number of hits they are broadcast and the points stay in place.
+    """
     payload = points.select(id_col, "path", "chunk_index", "text")
-    return hits.join(payload, id_col)
+    if n_hits is not None and n_hits <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return payload.join(hits, id_col)
 
 
 def contexts(hits: DataFrame) -> DataFrame:

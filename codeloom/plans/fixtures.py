@@ -6,11 +6,11 @@ Its text is plain SQL that Spark and DuckDB both run.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.session import spread
+from codeloom.sources.corpus import admitted
 
 _KEYS = ("*", "CAST(p_partkey AS VARCHAR(20)) AS k", "chr(10) AS nl")
 _REPO = "lower(replace(p_brand, '#', '-'))"
@@ -68,3 +68,92 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_PATH} AS path",
         f"{_CONTENT} AS content",
     )
+
+
+# Raw bytes of the corpus: some files are no UTF-8, some have other line ends.
+_RAW = (
+    "CASE WHEN path LIKE '%.kt' THEN concat(encode(content, 'UTF-8'), unhex('808182')) "
+    "WHEN path LIKE '%.HTML' THEN encode(replace(content, '\\n', '\\r\\n'), 'UTF-8') "
+    "ELSE encode(content, 'UTF-8') END"
+)
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a landed table of raw bytes."""
+    return corpus(spark, sf_dir).selectExpr("repo", "path", f"{_RAW} AS content")
+
+
+# Claims of reports: every line item claims a method in the file of its part. An order
+# is a module and sixteen orders are a report, so groups stay small at any scale.
+CLAIM_COLUMNS = {
+    "report_id": "CAST(floor(l_orderkey / 16) AS BIGINT)",
+    "module_pos": "CAST(l_orderkey % 16 AS INT)",
+    "name": "'m' || CAST(l_orderkey AS VARCHAR(20)) || '_' || CAST(l_linenumber AS VARCHAR(11))",
+    "file_id": "CAST(l_partkey AS BIGINT)",
+    "start_line": "CAST(l_suppkey % 95 - 5 AS INT)",
+    "end_line": "CAST(CASE WHEN l_returnflag = 'A' THEN 0 "
+    "ELSE l_suppkey % 95 - 8 + CAST(l_quantity AS INT) END AS INT)",
+    "confidence": "CASE WHEN CAST(l_quantity AS INT) = 7 THEN NULL "
+    "ELSE CAST(CAST(l_quantity AS INT) * 2 % 100 AS DOUBLE) / 100 END",
+}
+
+
+# These decide every other claim column, so they order the methods of a module fully.
+CLAIM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per claimed method with the repository and path it cites."""
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", *CLAIM_ORDER))
+    rows = items.selectExpr(*[f"{e} AS {c}" for c, e in CLAIM_COLUMNS.items()], *CLAIM_ORDER)
+    placed = corpus(spark, sf_dir).select("file_id", "repo", "path")
+    return rows.join(placed, "file_id", "left")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested reports of those claims. All files count as one repository, ``all``."""
+    method = F.struct(
+        "name", F.concat(F.col("name"), F.lit("()")).alias("signature"),
+        F.lit(None).cast("int").alias("loc"),
+        F.lit(None).cast("double").alias("cyclomatic_complexity"),
+        "confidence",
+        F.struct(
+            F.col("path"), F.col("start_line").cast("string").alias("start"),
+            F.col("end_line").cast("string").alias("end"),
+        ).alias("source_ref"),
+    )
+    methods = F.sort_array(F.collect_list(F.struct(*CLAIM_ORDER, method.alias("k"))))
+    modules = claims(spark, sf_dir).groupBy("report_id", "module_pos").agg(
+        methods.alias("ms"),
+        F.min("path").alias("first_path"), F.max("path").alias("last_path"),
+        F.min("start_line").alias("low"), F.max("end_line").alias("high"),
+    )
+    none = F.lit(None).cast("string")
+    lines = F.when(
+        F.col("module_pos") % 4 > 0,
+        F.struct(
+            F.col("low").cast("string").alias("start"),
+            F.when(F.col("module_pos") % 4 > 1, F.col("high").cast("string")).alias("end"),
+        ),
+    )
+    module = F.struct(
+        F.concat(F.lit("order "), F.col("module_pos").cast("string")).alias("module_name"),
+        F.array(F.lit("gone.java"), F.col("first_path")).alias("paths"),
+        F.col("last_path").alias("path"), none.alias("description"), lines.alias("lines"),
+        none.alias("example_snippet"),
+        F.transform("ms", lambda m: m["k"]).alias("key_methods"),
+        none.alias("complexity_notes"),
+        F.array().cast("array<string>").alias("recommendations"),
+        F.lit(0.9).alias("confidence"),
+    )
+    keyed = modules.select("report_id", F.struct("module_pos", module.alias("m")).alias("pm"))
+    nested = keyed.groupBy("report_id").agg(F.sort_array(F.collect_list("pm")).alias("pms"))
+    return nested.select(
+        "report_id", F.lit("all").alias("repo"),
+        F.transform("pms", lambda p: p["m"]).alias("key_modules"),
+    )
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admitted raw files of the corpus under the one repository of the reports."""
+    return admitted(raw_files(spark, sf_dir)).withColumn("repo", F.lit("all"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -58,6 +60,27 @@ def stage(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="codeloom-ship-")) / "codeloom"
+    context.addPyFile(
+        shutil.make_archive(str(target), "zip", str(package.parent), package.name)
+    )
+    _shipped.add(context.applicationId)
+
+
+def few(df: DataFrame, limit: int) -> bool:
+    """Whether a frame has at most ``limit`` rows; reads no more than it must."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores.
 
