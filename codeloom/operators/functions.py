@@ -148,17 +148,13 @@ FUNCTION_TYPE = (
 )
 
 
-def with_functions(docs: DataFrame) -> DataFrame:
-    """Add ``language`` and ``functions``; blank files are dropped."""
-    found = F.coalesce(
-        function_array(F.col("content"), F.col("language")),
-        F.array().cast(FUNCTION_TYPE),
-    )
-    return (
-        nonblank(docs)
-        .withColumn("language", paths.language(F.col("path")))
-        .withColumn("functions", found)
-    )
+def _typed(docs: DataFrame) -> DataFrame:
+    return nonblank(docs).withColumn("language", paths.language(F.col("path")))
+
+
+def _found() -> Column:
+    found = function_array(F.col("content"), F.col("language"))
+    return F.coalesce(found, F.array().cast(FUNCTION_TYPE))
 
 
 def nonblank(docs: DataFrame) -> DataFrame:
@@ -167,10 +163,9 @@ def nonblank(docs: DataFrame) -> DataFrame:
 
 def find_functions(docs: DataFrame) -> DataFrame:
     """One row per function of every file; other languages yield none."""
-    located = with_functions(docs).select("repo", "path", "language", "functions")
-    return located.select(
-        "repo", "path", "language", F.inline("functions")
-    )
+    # Exploding the expression, not a column that holds it, keeps Spark from adding a
+    # size filter on the column, which would extract the functions a second time.
+    return _typed(docs).select("repo", "path", "language", F.inline(_found()))
 
 
 def top_functions(functions: Column, limit: int = K.TOP_FUNCTIONS) -> Column:
@@ -185,7 +180,7 @@ def top_functions(functions: Column, limit: int = K.TOP_FUNCTIONS) -> Column:
 
 def profile_modules(docs: DataFrame) -> DataFrame:
     """Static analysis: one row per non-blank file with its top functions."""
-    analysed = with_functions(docs)
+    analysed = _typed(docs).withColumn("functions", _found())
     return analysed.select(
         "repo",
         paths.file_name(F.col("path")).alias("module_name"),
@@ -200,6 +195,7 @@ def profile_modules(docs: DataFrame) -> DataFrame:
 
 def explode_top_functions(modules: DataFrame) -> DataFrame:
     """One row per top function with its rank in the module."""
+    listed = F.slice("top_functions", 1, K.TOP_FUNCTIONS)  # see find_functions
     return modules.select(
-        "repo", "path", "language", F.posexplode("top_functions").alias("pos", "f")
+        "repo", "path", "language", F.posexplode(listed).alias("pos", "f")
     ).select("repo", "path", "language", (F.col("pos") + 1).alias("rank"), "f.*")
