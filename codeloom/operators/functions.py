@@ -5,6 +5,8 @@ Everything here is local to one row: no shuffle, no Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,91 +22,115 @@ def _pattern(language: Column) -> Column:
     return out
 
 
-_PAGE = 4096
+_PAGE = 1024
+
 
+def _body_at(content: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """Hand ``use`` a function from a start offset to the body window there.
 
-def _window(pages: Column, start: Column) -> Column:
-    """The body window at ``start``, read from the one or two pages that hold it."""
-    page = (start / _PAGE).cast("int")
-    both = F.concat(F.get(pages, page), F.coalesce(F.get(pages, page + 1), F.lit("")))
-    return F.substring(both, start % _PAGE + 1, F.lit(K.BODY_WINDOW))
+    Pages of the text, each with the text a window may need past its end, are cut in one
+    pass, so a window does not count characters from the start of a long file.
+    """
+    reach = _PAGE + K.BODY_WINDOW
+    pattern = F.lit(f"(?s)(?=(.{{1,{reach}}})).{{1,{_PAGE}}}")
+    return arrays.bind(
+        F.regexp_extract_all(content, pattern, F.lit(1)),
+        lambda pages: use(
+            lambda start: F.substring(
+                F.get(pages, (start / _PAGE).cast("int")),
+                start % _PAGE + 1,
+                F.lit(K.BODY_WINDOW),
+            )
+        ),
+    )
 
 
 _COUNTS = ("chars", "lines", "branches")
-_NEAR, _FAR = 16, 241  # a match takes 5 characters at least, so a window holds 240
+_IN_WINDOW = 241  # a match and its line end have 5 characters, so 240 fit
 
 
 def _marks(matches: Column, gaps: Column) -> Column:
-    """Array of (match, start, lines, branches), the last three counted before the match.
+    """Array of (match, part, start, lines, branches), the last three before the match.
 
     The text is g0 m0 g1 m1 .. gn; part i is the match mi and the gap after it.
     """
     n = F.size(matches)
     head = F.get(gaps, F.lit(0))
-    parts = F.zip_with(matches, F.slice(gaps, F.lit(2), n), lambda m, g: F.concat(m, g))
-    counts = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.length(p).alias("chars"),
-            text.newline_count(p).alias("lines"),
-            text.branch_hits(F.lower(p)).alias("branches"),
-        ),
-    )
-    return F.zip_with(
+    parts = F.zip_with(
         matches,
-        arrays.running_totals(counts, _COUNTS),
-        lambda m, before: F.struct(
-            m.alias("match"),
-            (before["chars"] + F.length(head)).alias("start"),
-            (before["lines"] + text.newline_count(head)).alias("lines"),
-            before["branches"].alias("branches"),
-        ),
+        F.slice(gaps, F.lit(2), n),
+        lambda m, g: F.struct(m.alias("match"), F.concat(m, g).alias("part")),
     )
 
+    def counted(parts_: Column) -> Column:
+        counts = F.transform(
+            parts_,
+            lambda p: F.struct(
+                F.length(p["part"]).alias("chars"),
+                text.newline_count(p["part"]).alias("lines"),
+                text.branch_hits(F.lower(p["part"])).alias("branches"),
+            ),
+        )
+        return F.zip_with(
+            parts_,
+            arrays.running_totals(counts, _COUNTS),
+            lambda p, before: F.struct(
+                p["match"].alias("match"),
+                p["part"].alias("part"),
+                (before["chars"] + F.length(head)).alias("start"),
+                (before["lines"] + text.newline_count(head)).alias("lines"),
+                before["branches"].alias("branches"),
+            ),
+        )
 
-def _measured(marks: Column, pages: Column) -> Column:
-    """Add the body window of each match and its line and branch counts.
+    return arrays.bind(parts, counted)
+
+
+def _last_inside(starts: Column, i: Column, end: Column) -> Column:
+    """Index of the last mark before the offset ``end``, from mark ``i`` on."""
+    ahead = F.slice(starts, i + 1, F.lit(_IN_WINDOW))
+    return i + arrays.count_below(ahead, end) - 1
+
+
+def _measured(marks: Column) -> Column:
+    """Line and branch counts of the body window of each match.
 
     A match starts a line and no branch token spans a line end, so counts add up over
-    parts: a window is the sum of the parts it covers and its cut-off tail, and the
-    text is not scanned again for every window that overlaps it.
+    parts: a window is the sum of the parts it covers and the head of its last one, and
+    the text is not scanned again for every window that overlaps it.
     """
-
-    def last_inside(mark: Column, i: Column) -> Column:
-        end = mark["start"] + K.BODY_WINDOW
-        beyond = F.get(marks, i + _NEAR)["start"]
-        take = F.when(beyond < end, F.lit(_FAR)).otherwise(F.lit(_NEAR))
-        inside = F.filter(F.slice(marks, i + 1, take), lambda m: m["start"] < end)
-        return F.get(inside, F.size(inside) - 1)
-
-    windowed = F.transform(
-        marks,
-        lambda m, i: F.struct(
-            m.alias("mark"),
-            last_inside(m, i).alias("last"),
-            _window(pages, m["start"]).alias("body"),
+    ranged = arrays.bind(
+        F.transform(marks, lambda m: m["start"]),
+        lambda starts: F.transform(
+            marks,
+            lambda m, i: F.struct(
+                m.alias("mark"),
+                F.get(
+                    marks, _last_inside(starts, i, m["start"] + K.BODY_WINDOW)
+                ).alias("last"),
+            ),
         ),
     )
     tailed = F.transform(
-        windowed,
-        lambda w: F.struct(
-            w.alias("w"),
+        ranged,
+        lambda r: F.struct(
+            r["mark"].alias("mark"),
+            r["last"].alias("last"),
             F.substring(
-                w["body"], w["last"]["start"] - w["mark"]["start"] + 1, F.lit(K.BODY_WINDOW)
+                r["last"]["part"], F.lit(1),
+                r["mark"]["start"] + K.BODY_WINDOW - r["last"]["start"],
             ).alias("tail"),
         ),
     )
     return F.transform(
         tailed,
         lambda t: F.struct(
-            t["w"]["mark"].alias("mark"),
-            t["w"]["body"].alias("body"),
+            t["mark"].alias("mark"),
             (
-                t["w"]["last"]["lines"] - t["w"]["mark"]["lines"]
-                + text.newline_count(t["tail"]) + 1
+                t["last"]["lines"] - t["mark"]["lines"] + text.newline_count(t["tail"]) + 1
             ).alias("loc"),
             (
-                t["w"]["last"]["branches"] - t["w"]["mark"]["branches"]
+                t["last"]["branches"] - t["mark"]["branches"]
                 + text.branch_hits(F.lower(t["tail"])) + 1
             ).alias("cyclomatic"),
         ),
@@ -112,7 +138,7 @@ def _measured(marks: Column, pages: Column) -> Column:
 
 
 def function_array(content: Column, language: Column) -> Column:
-    """All functions of a text as an array of structs, in text order."""
+    """All functions of a text as an array of structs, in text order, without bodies."""
     pattern = _pattern(language)
 
     def described(measured: Column) -> Column:
@@ -128,24 +154,34 @@ def function_array(content: Column, language: Column) -> Column:
                 (x["mark"]["lines"] + 1).alias("start_line"),
                 x["loc"].alias("loc"),
                 x["cyclomatic"].alias("cyclomatic"),
-                x["body"].alias("body_short"),
             ),
         )
 
     def located(matches: Column) -> Column:
         marks = arrays.bind(F.split(content, pattern, -1), lambda g: _marks(matches, g))
-        pages = arrays.pages(content, _PAGE)
-        measured = arrays.bind(marks, lambda m: arrays.bind(pages, lambda p: _measured(m, p)))
-        return F.when(F.size(matches) > 0, described(measured))
+        return F.when(F.size(matches) > 0, described(arrays.bind(marks, _measured)))
 
     found = arrays.bind(F.regexp_extract_all(content, pattern, F.lit(0)), located)
     return F.when(pattern.isNotNull(), found)
 
 
-FUNCTION_TYPE = (
-    "array<struct<fn_index:int,name:string,signature:string,start_idx:int,"
-    "start_line:int,loc:int,cyclomatic:int,body_short:string>>"
+def with_bodies(functions: Column, content: Column) -> Column:
+    """Add ``body_short``, the body window, to every function of an array."""
+    added = _body_at(
+        content,
+        lambda body: F.transform(
+            functions, lambda f: f.withField("body_short", body(f["start_idx"]))
+        ),
+    )
+    return F.when(F.size(functions) > 0, added)
+
+
+_BARE = (
+    "fn_index:int,name:string,signature:string,start_idx:int,start_line:int,loc:int,"
+    "cyclomatic:int"
 )
+FUNCTIONS_TYPE = f"array<struct<{_BARE}>>"
+WITH_BODIES_TYPE = f"array<struct<{_BARE},body_short:string>>"
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -153,8 +189,7 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 
 def _found() -> Column:
-    found = function_array(F.col("content"), F.col("language"))
-    return F.coalesce(found, F.array().cast(FUNCTION_TYPE))
+    return function_array(F.col("content"), F.col("language"))
 
 
 def nonblank(docs: DataFrame) -> DataFrame:
@@ -165,7 +200,8 @@ def find_functions(docs: DataFrame) -> DataFrame:
     """One row per function of every file; other languages yield none."""
     # Exploding the expression, not a column that holds it, keeps Spark from adding a
     # size filter on the column, which would extract the functions a second time.
-    return _typed(docs).select("repo", "path", "language", F.inline(_found()))
+    found = arrays.bind(_found(), lambda f: with_bodies(f, F.col("content")))
+    return _typed(docs).select("repo", "path", "language", F.inline(found))
 
 
 def top_functions(functions: Column, limit: int = K.TOP_FUNCTIONS) -> Column:
@@ -174,13 +210,15 @@ def top_functions(functions: Column, limit: int = K.TOP_FUNCTIONS) -> Column:
         functions,
         lambda f: F.struct((-f["cyclomatic"]).alias("a"), (-f["loc"]).alias("b"), f.alias("f")),
     )
-    ordered = F.array_sort(keyed)  # struct order; fn_index leads f, so ties keep text order
+    ordered = F.sort_array(keyed)  # fn_index leads f, so ties keep text order
     return F.transform(F.slice(ordered, F.lit(1), F.lit(limit)), lambda k: k["f"])
 
 
 def profile_modules(docs: DataFrame) -> DataFrame:
     """Static analysis: one row per non-blank file with its top functions."""
-    analysed = _typed(docs).withColumn("functions", _found())
+    none = F.array().cast(FUNCTIONS_TYPE)
+    analysed = _typed(docs).withColumn("functions", F.coalesce(_found(), none))
+    top = with_bodies(top_functions(F.col("functions")), F.col("content"))
     return analysed.select(
         "repo",
         paths.file_name(F.col("path")).alias("module_name"),
@@ -188,7 +226,7 @@ def profile_modules(docs: DataFrame) -> DataFrame:
         "language",
         text.line_count(F.col("content")).alias("total_lines"),
         F.size("functions").alias("num_functions"),
-        top_functions(F.col("functions")).alias("top_functions"),
+        F.coalesce(top, F.array().cast(WITH_BODIES_TYPE)).alias("top_functions"),
         F.lit(K.MODULE_CONFIDENCE).alias("confidence"),
     )
 
