@@ -31,8 +31,15 @@ def texts():
     made = [random_text(rng, rng.choice([5, 40, 400, 3000])) for _ in range(250)]
     dense = "".join(f"f{i}(x) {{\n" for i in range(600))
     long_line = "def f(a):\n" + "x" * 30_000 + "\n\n" + "y" * 7000
-    blanks = "int a\n" + "\n" * 6000 + " " * 3000 + "public int f(a) {"
-    return [*made, "", " ", "\n", "a", dense, long_line, blanks, " \n" * 4000]
+    blanks = "int a\n" + "\n" * 60 + " " * 30 + "public int f(a) {"
+    return [*made, "", " ", "\n", "a", dense, long_line, blanks, " \n" * 60]
+
+
+def test_long_blank_runs_stay_cheap(docs):
+    """The plain pattern is cubic here, so there is no comparison, only the known result."""
+    content = "int a\n" + "\n" * 20_000 + " " * 3000 + "public int f(a) {"
+    (row,) = fn.find_functions(docs({"a.java": content})).collect()
+    assert (row["name"], row["start_line"]) == ("f", 2)
 
 
 def test_functions_match_plain_python(spark, docs, texts):
