@@ -7,8 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 256
-
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a variable.
@@ -22,9 +20,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def running_totals(numbers: Column, fields: Sequence[str]) -> Column:
     """For each struct of counts, the field-wise sums over all structs before it.
 
-    Totals are kept inside blocks and then shifted by block totals, so a file with
-    very many matches costs far less than one prefix sum, or one growing array, per
-    element.
+    Totals are kept inside blocks of about the square root of the length and then shifted
+    by block totals. Appending to an array copies it, so short blocks matter.
     """
     zeros = F.struct(*[F.lit(0).alias(f) for f in fields])
 
@@ -42,11 +39,11 @@ def running_totals(numbers: Column, fields: Sequence[str]) -> Column:
             ),
         )
 
-    def blocks_of(xs: Column) -> Column:
-        last = F.greatest((F.size(xs) - 1) / _BLOCK, F.lit(0)).cast("int")
+    def blocks_of(xs: Column, width: Column) -> Column:
+        last = F.greatest((F.size(xs) - 1) / width, F.lit(0)).cast("int")
         return F.transform(
             F.sequence(F.lit(0), last),
-            lambda b: scan(F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)), lambda x: x),
+            lambda b: scan(F.slice(xs, b * width + 1, width), lambda x: x),
         )
 
     def shifted(blocks: Column) -> Column:
@@ -55,7 +52,11 @@ def running_totals(numbers: Column, fields: Sequence[str]) -> Column:
             F.zip_with(blocks, starts, lambda b, s: F.transform(b["out"], lambda o: add(o, s)))
         )
 
-    return bind(numbers, lambda xs: bind(blocks_of(xs), shifted))
+    def blocked(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        return bind(bind(width, lambda w: blocks_of(xs, w)), shifted)
+
+    return bind(numbers, blocked)
 
 
 def count_below(ordered: Column, bound: Column) -> Column:

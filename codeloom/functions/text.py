@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codeloom import constants as K
+from codeloom.functions.arrays import bind
 
 
 def strip(text: Column) -> Column:
@@ -38,17 +39,31 @@ def line_of_offset(text: Column, offset: Column) -> Column:
     return line_count(F.substring(text, F.lit(1), offset))
 
 
-def branch_hits(lowered: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column:
-    """Branch tokens in a text that is lower-cased already."""
-    hits = F.lit(0)
+def branch_hits(text: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column:
+    """Branch tokens in a text, without regard to case.
+
+    Each token counts by the bytes that vanish with it; tokens of one length share the
+    arithmetic, which matters because this runs for every line and part of a corpus.
+    """
+    by_length: dict[int, list[str]] = {}
     for token in tokens:
-        hits = hits + count_of(lowered, token)
-    return hits
+        by_length.setdefault(len(token), []).append(token)
+
+    def counted(lowered: Column) -> Column:
+        hits = F.lit(0)
+        for length, group in by_length.items():
+            left = F.octet_length(lowered) * len(group)
+            for token in group:
+                left = left - F.octet_length(F.replace(lowered, F.lit(token), F.lit("")))
+            hits = hits + (left / length).cast("int")
+        return hits
+
+    return bind(F.lower(text), counted)
 
 
 def cyclomatic(text: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column:
     """Complexity estimate: 1 and one for each branch token."""
-    return branch_hits(F.lower(text), tokens) + 1
+    return branch_hits(text, tokens) + 1
 
 
 def normalise_newlines(text: Column) -> Column:
@@ -72,9 +87,12 @@ def decode_lossy(content: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line end opens no further line."""
-    parts = F.split(text, K.LINE_ENDS, -1)
-    keep = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.slice(parts, F.lit(1), keep)
+
+    def trimmed(parts: Column) -> Column:
+        keep = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+        return F.slice(parts, F.lit(1), keep)
+
+    return bind(F.split(text, K.LINE_ENDS, -1), trimmed)
 
 
 def first_line(text: Column) -> Column:

@@ -68,7 +68,7 @@ def _marks(matches: Column, gaps: Column) -> Column:
             lambda p: F.struct(
                 F.length(p["part"]).alias("chars"),
                 text.newline_count(p["part"]).alias("lines"),
-                text.branch_hits(F.lower(p["part"])).alias("branches"),
+                text.branch_hits(p["part"]).alias("branches"),
             ),
         )
         return F.zip_with(
@@ -131,7 +131,7 @@ def _measured(marks: Column) -> Column:
             ).alias("loc"),
             (
                 t["last"]["branches"] - t["mark"]["branches"]
-                + text.branch_hits(F.lower(t["tail"])) + 1
+                + text.branch_hits(t["tail"]) + 1
             ).alias("cyclomatic"),
         ),
     )
