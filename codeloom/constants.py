@@ -76,8 +76,8 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 ANALYSIS_QUERY = "Provide high-level summary, architecture, key methods, and risks"
 
 # --- character classes and patterns (java.util.regex) ---------------------------
-# The reference semantics are those of Unicode text patterns in Python: its white
-# space set includes U+001C..U+001F, and a word character is a letter, a number or
+# Patterns have the meaning of Unicode text patterns in Python, whose white space
+# set includes U+001C..U+001F, and a word character is a letter, a number or
 # an underscore. Spelling the classes out avoids the slower (?U) mode. Only "\n"
 # ends a line, hence the d flag.
 WHITESPACE = (
