@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.operators.skew import keep_listed
 
 
 def with_role(df: DataFrame) -> DataFrame:
@@ -47,5 +48,5 @@ def cap_files(docs: DataFrame, n: int) -> DataFrame:
     """Keep the documents ``priority_limit`` selects, ranking without the contents."""
     if n <= 0:
         return docs
-    kept = priority_limit(docs.select("repo", "path"), n).select("repo", "path")
-    return docs.join(kept, ["repo", "path"], "left_semi")
+    kept = priority_limit(docs.select("repo", "path"), n)
+    return keep_listed(docs, kept, ["repo", "path"])

@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import few
+
 HOT_ROWS = 1_000_000
+BROADCAST_KEYS = 500_000
 _SALT = "_salt"
 _SALTS = "_salts"
 
@@ -26,6 +29,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return counts.select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias(_SALTS))
 
 
+def keep_listed(
+    df: DataFrame, keys: DataFrame, on: Sequence[str], limit: int = BROADCAST_KEYS
+) -> DataFrame:
+    """Rows of a wide ``df`` whose key is among ``keys``.
+
+    The number of keys is checked: up to ``limit`` they are broadcast and the wide rows
+    are filtered where they are; beyond it both sides are shuffled.
+    """
+    listed = keys.select(*on).distinct()
+    return df.join(F.broadcast(listed) if few(listed, limit) else listed, list(on), "left_semi")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,

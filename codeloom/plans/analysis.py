@@ -60,11 +60,16 @@ def describe_modules(
 
 
 def retrieve(
-    points: DataFrame, make_embedder: Callable, query: str = K.ANALYSIS_QUERY, k: int = K.TOP_K
+    points: DataFrame,
+    make_embedder: Callable,
+    folder: str,
+    query: str = K.ANALYSIS_QUERY,
+    k: int = K.TOP_K,
 ) -> DataFrame:
     """Contexts of each repository for one query text: its k nearest chunks.
 
-    A task keeps k rows per repository before the shuffle.
+    A task keeps k rows per repository before the shuffle. The few hits are written and
+    counted, so that texts are fetched for them without a shuffle of all points.
     """
     (vector,) = make_embedder()([query])
     wanted = F.array(*[F.lit(float(x)) for x in vector])
@@ -72,8 +77,8 @@ def retrieve(
     scored = fits.select("repo", "id", vectors.cosine(F.col("vector"), wanted).alias("score"))
     order = Window.partitionBy("repo").orderBy(F.desc_nulls_last("score"), "id")
     hits = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    named = hits.withColumnRenamed("repo", "query_id")
-    return search.contexts(search.with_payload(named, points))
+    named = stage(hits.withColumnRenamed("repo", "query_id"), f"{folder}/hits")
+    return search.contexts(search.with_payload(named, points, n_hits=named.count()))
 
 
 def analyse(
@@ -114,7 +119,7 @@ def analyse(
     )
     tables.append_cache(embedded.fresh, f"{caches}/vectors")
 
-    contexts = report.prompt_contexts(retrieve(points, make_embedder))
+    contexts = report.prompt_contexts(retrieve(points, make_embedder, folder))
     prompts = report.build_prompts(report.prompt_evidence(modules), contexts)
     reports = stage(report.assemble_reports(modules), f"{folder}/report_rows")
     groups = stage(report.modules_by_role(modules), f"{folder}/group_rows")

@@ -572,8 +572,9 @@ def prompt_context(spark, sf_dir):
         F.col("doc_id").alias("id"), F.col("source").alias("path"),
         F.lit(0).alias("chunk_index"), "text",
     )
-    hits = search.with_payload(search.top_k_batch(points, queries), docs)
-    return report.prompt_contexts(search.contexts(hits))
+    hits = stage(search.top_k_batch(points, queries), run_folder(spark, "hits"))
+    found = search.with_payload(hits, docs, n_hits=hits.count())
+    return report.prompt_contexts(search.contexts(found))
 
 
 @query
