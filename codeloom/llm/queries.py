@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contamination
 from codeloom.llm.mixing import op7_mix_sources
+from codeloom.llm.ngram_join import op4_ngram_join
 from codeloom.llm.sharding import op5_shuffle_shards
 from codeloom.llm.url_filter import SITE_RULES, judge
 
@@ -25,6 +26,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ngram_join": op4_ngram_join,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_rules": op8_url_rules,
