@@ -79,8 +79,9 @@ def shard_quotas(plan: DataFrame, shards: int) -> DataFrame:
 def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", seed: int = SEED, shards: int = SHARDS) -> Mix:
     """How many words of each document the mix takes.
 
-    Columns of ``taken``: ``doc_id, source, size, source_size, target, taken``. Documents
-    without words take none and belong to no block. Null sources are one source. Repeated rows keep
+    Columns of ``taken``: ``doc_id, source, size, source_size, target, taken`` and ``whole``, how often
+    the document is taken if only whole ones can be. Documents without words take none and
+    belong to no block. Null sources are one source. Repeated rows keep
     one row each; the order of equal rows does not matter. An empty table gives no rows. The
     same rows and seed give the same mix, however they are split.
     """
@@ -104,10 +105,12 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     rows = placed.join(known, placed.source.eqNullSafe(F.col("__source")))
     a, b = F.col("before"), F.col("before") + F.col("size")
     chosen = chosen_words(b, block) - chosen_words(a, block)
-    took = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + chosen).cast("long").alias("taken"))
+    middle = a + F.floor(F.col("size") / 2)
+    whole = F.col("rounds") + chosen_words(middle + 1, block) - chosen_words(middle, block)
+    took = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + chosen).cast("long").alias("taken"), whole.cast("long").alias("whole"))
     rest = sized.where("size = 0")
     rest = rest.join(known, rest.source.eqNullSafe(F.col("__source")))
-    rest = rest.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    rest = rest.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(1).cast("long").alias("whole"))
     return Mix(took.unionByName(rest), shard_quotas(plan, shards))
 
 
@@ -124,6 +127,19 @@ def chosen_words(x: Column, block: int) -> Column:
     return below * block + F.when(upto > below, x - whole * block).otherwise(0)
 
 
+def take_whole(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """``docs`` mixed to whole documents: each row once for every chosen block that holds its middle.
+
+    Documents without words stay once. Repeated rows share their number of takes. All columns stay as they are.
+    """
+    names = docs.columns
+    numbered = docs.withColumns({"__size": word_count(F.col(text)), "__key": fingerprint(*[F.col(f"`{c}`") for c in names])})
+    mixed = mix(numbered, F.col("__size"), "__key", source, seed)
+    times = mixed.taken.groupBy("doc_id").agg(F.max("whole").cast("int").alias("__times")).where("__times > 0")
+    kept = numbered.join(times.withColumnRenamed("doc_id", "__key"), "__key")
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs, word_count(F.col("text"))).taken.drop("source")
+    return mix(docs, word_count(F.col("text"))).taken.drop("source", "whole")

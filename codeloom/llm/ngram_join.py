@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.common import Words, not_space, over_arrow, slices, staged, table
+from codeloom.llm.common import Words, not_space, over_arrow, slices, small, staged, table
 from codeloom.llm.components import components
 from codeloom.operators.skew import keep_listed
 
@@ -217,14 +217,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
     return staged(over_arrow(joined.select("a", "b", "x", "y"), similar, "a long, b long"), "similar")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
-
-    Links: Jaccard of the sets of ``size`` lower-cased words >= ``percent`` / 100. Null and wordless texts have an
-    empty set and are alone; fewer words than ``size`` are one shingle. ``component_id`` is the
-    least key reachable; equal sets are linked, so repeated rows share it. Other columns of
-    ``docs`` are not returned. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Per row its set size, text key, component and the component's root node (null for empty sets)."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     rows = profiles(texts, size)
     sized = rows.where("chunk is null").select("doc_id", "n_shingles", "node", "text_key")
@@ -235,9 +229,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     more = verified(remaining_pairs(posts, roots, percent), texts, nodes, size, percent)
     roots = components(stars.unionByName(more)) if more.head(1) else roots
     linked = staged(nodes.join(roots, "node").select("node", "root", "least"), "members")
-    linked = linked.join(staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least"), "root").select("node", "component_id")
-    ids = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "ids")
-    return sized.join(ids, "node", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = linked.join(staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least"), "root").select("node", "root", "component_id")
+    ids = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "ids")
+    return sized.join(ids, "node", "left").select("doc_id", "text_key", "root", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
+
+    Links: Jaccard of the sets of ``size`` lower-cased words >= ``percent`` / 100. Null and
+    wordless texts have an empty set and are alone; fewer words than ``size`` are one shingle.
+    ``component_id`` is the least key reachable; equal sets are linked, so repeated rows
+    share it. Other columns of ``docs`` are not returned. An empty table gives no rows.
+    """
+    return _grouped(docs, key, text, size, percent).drop("text_key", "root")
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the least key.
+
+    Null keys come last; of equal keys the least text hash stays, of equal rows one. Documents without words are
+    in no group and all stay. All columns stay as they are.
+    """
+    names = docs.columns
+    grouped = staged(_grouped(docs, key, text, size, percent).where("root is not null"), "grouped")
+    grouped = grouped.select("root", F.xxhash64("doc_id", "text_key").alias("row"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_key").alias("t")).alias("rank"))
+    first = staged(grouped.groupBy("root").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "firsts")
+    placed = grouped.join(first, "root").select("row", "rank", "first")
+    losers = staged(placed.where("rank <> first").select("row").distinct(), "losers")
+    again = staged(placed.where("rank = first").groupBy("row").count().where("count > 1").select("row"), "again")
+    marked = docs.withColumn("__row", F.xxhash64(F.col(key).cast("long"), F.xxhash64(text)))
+    kept = marked.join(small(losers.withColumnRenamed("row", "__row"), 500_000), "__row", "left_anti")
+    if again.head(1):
+        repeated = small(again.withColumnRenamed("row", "__row"), 500_000)
+        single = kept.join(repeated, "__row", "left_semi").groupBy("__row").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("held"))
+        kept = kept.join(repeated, "__row", "left_anti").select(*names).unionByName(single.select("held.*"))
+    return kept.select(*[F.col(f"`{c}`") for c in names])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

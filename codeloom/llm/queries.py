@@ -13,6 +13,7 @@ from codeloom.llm.language import op6_language_id
 from codeloom.llm.mixing import op7_mix_sources
 from codeloom.llm.ngram_join import op4_ngram_join
 from codeloom.llm.sharding import op5_shuffle_shards
+from codeloom.llm.token_output import op2_token_files
 from codeloom.llm.url_filter import SITE_RULES, judge
 
 
@@ -27,6 +28,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op4_ngram_join": op4_ngram_join,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_language_id": op6_language_id,
