@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contamination
+from codeloom.llm.embedding_dedup import op1_embedding_dedup
 from codeloom.llm.language import op6_language_id
 from codeloom.llm.mixing import op7_mix_sources
 from codeloom.llm.ngram_join import op4_ngram_join
@@ -28,6 +29,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_files": op2_token_files,
     "op4_ngram_join": op4_ngram_join,
     "op5_shuffle_shards": op5_shuffle_shards,
