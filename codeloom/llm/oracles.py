@@ -30,4 +30,20 @@ select x.doc_id, coalesce(dw.n, 0)::bigint n_words, coalesce(n_hit, 0)::bigint n
 from documents x left join dw using (doc_id) left join cov using (doc_id) left join its using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_url_rules": OP8, "op9_decontaminate": OP9}
+_WORDS = r"len(regexp_extract_all({0}, '[^ \x09-\x0D]+'))"
+
+OP10 = rf"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(0, len(string_split(text, chr(10))))) n from documents where text is not null),
+l1 as (select doc_id, n, line, {_WORDS.format("line")} w from l),
+r as (select *, lead(line, 1) over d b, lead(line, 2) over d c, lead(line, 3) over d e, lead(w, 1) over d wb, lead(w, 2) over d wc, lead(w, 3) over d we
+  from l1 window d as (partition by doc_id order by n)),
+k as (
+  select doc_id, n, 1 s from r where w >= 50 qualify row_number() over (partition by line order by doc_id, n) > 1
+  union all select doc_id, n, 2 from r where b is not null and w + wb >= 50 qualify row_number() over (partition by line, b order by doc_id, n) > 1
+  union all select doc_id, n, 4 from r where e is not null and w + wb + wc + we > 0 qualify row_number() over (partition by line, b, c, e order by doc_id, n) > 1),
+g as (select distinct doc_id, n + i as n from k, unnest(range(0, s)) u(i)),
+o as (select l.doc_id, count(*) n_lines, count(g.n) n_deleted, coalesce(string_agg(line, chr(10) order by l.n) filter (g.n is null), '') t from l left join g using (doc_id, n) group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_deleted, 0)::bigint n_deleted, case when d.text is null then null else md5(t) end as text_md5 from documents d left join o using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_url_rules": OP8, "op9_decontaminate": OP9, "op10_line_dedup": OP10}

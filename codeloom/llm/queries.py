@@ -11,9 +11,11 @@ from codeloom.llm.common import table
 from codeloom.llm.decontamination import contamination
 from codeloom.llm.embedding_dedup import op1_embedding_dedup
 from codeloom.llm.language import op6_language_id
+from codeloom.llm.line_dedup import op10_line_dedup
 from codeloom.llm.mixing import op7_mix_sources
 from codeloom.llm.ngram_join import op4_ngram_join
 from codeloom.llm.sharding import op5_shuffle_shards
+from codeloom.llm.token_counts import op3_section_tokens
 from codeloom.llm.token_output import op2_token_files
 from codeloom.llm.url_filter import SITE_RULES, judge
 
@@ -31,10 +33,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_files": op2_token_files,
+    "op3_section_tokens": op3_section_tokens,
     "op4_ngram_join": op4_ngram_join,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_language_id": op6_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
