@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     gone = later_copies(narrow, least_lines, least_words).groupBy("row").agg(F.collect_set("n").alias("__gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     marked = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__row", row)
-    joined = marked.join(staged(gone, "gone").withColumnRenamed("row", "__row"), "__row", "left")
+    # always by shuffle: the table of lines gone grows with the input
+    joined = marked.join(staged(gone, "gone").withColumnRenamed("row", "__row").hint("merge"), "__row", "left")
     lines = F.split(F.col(text), "\n")
     left = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
