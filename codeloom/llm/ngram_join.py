@@ -181,14 +181,23 @@ def remaining_pairs(posts: DataFrame, roots: DataFrame, percent: int) -> DataFra
     right = live.select("token", "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("need").alias("k"), F.col("root").alias("rb"))
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     pairs = left.join(right, ["token", "band"]).where((F.col("ra") != F.col("rb")) & ordered & (F.col("n") * 100 >= F.col("m") * percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("m").alias("m"), F.first("k").alias("k"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "l", "m", "k")])
     return pairs.where(_possible(F.col("c"), F.col("n"), F.col("l"), F.col("m"), F.col("k"), percent)).select("a", "b")
 
 
+def linked_roots(posts: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of all linked nodes: stars first, then every candidate between components."""
+    links = verified(staged(star_pairs(posts, percent), "stars"), texts, nodes, size, percent)
+    roots = staged(components(links), "roots")
+    rest = staged(remaining_pairs(posts, roots, percent), "remaining")
+    if not rest.head(1):
+        return roots
+    return components(links.unionByName(verified(rest, texts, nodes, size, percent)))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = staged(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     keys = staged(nodes.join(wanted, "node", "left_semi").select("text_key"), "wanted")
 
     def sets(batches):
@@ -224,10 +233,7 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     sized = rows.where("chunk is null").select("doc_id", "n_shingles", "node", "text_key")
     nodes = staged(sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")), "nodes")
     posts = postings(texts, sketch(rows), size, percent)
-    stars = verified(star_pairs(posts, percent), texts, nodes, size, percent)
-    roots = staged(components(stars), "roots")
-    more = verified(remaining_pairs(posts, roots, percent), texts, nodes, size, percent)
-    roots = components(stars.unionByName(more)) if more.head(1) else roots
+    roots = linked_roots(posts, texts, nodes, size, percent)
     linked = staged(nodes.join(roots, "node").select("node", "root", "least"), "members")
     linked = linked.join(staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least"), "root").select("node", "root", "component_id")
     ids = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "ids")
