@@ -121,23 +121,24 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         if hashed:
-            self.hash = self._hashes(inside, begins)
-
-    def _hashes(self, inside: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        sizes = self.end - self.start
-        if not begins[0]:
-            begins = begins.copy()
-            begins[0] = True
-            starts = np.concatenate(([0], self.start))
-        else:
-            starts = self.start
-        place = np.arange(len(inside)) - np.repeat(starts, np.diff(np.append(starts, len(inside))))
-        place[~inside] = 0
-        value = _BYTE[self.text] * _places(int(sizes.max()))[place]
-        value[~inside] = 0
-        return mix(np.add.reduceat(value, self.start) + sizes.astype(np.uint64))
+            self.hash = self._hashes(inside)
+
+    def _hashes(self, inside: np.ndarray) -> np.ndarray:
+        """Word hashes, a stretch of words at a time so that only a slice's bytes are widened to 64 bits."""
+        out = np.zeros(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SLICE_BYTES, "right")))
+            a, b = int(self.start[at]), int(self.end[to - 1])
+            starts = self.start[at:to] - a
+            place = np.arange(b - a) - np.repeat(starts, np.diff(np.append(starts, b - a)))
+            kept = inside[a:b]
+            place[~kept] = 0
+            value = _BYTE[self.text[a:b]] * _places(int(place.max()) + 1)[place]
+            value[~kept] = 0
+            out[at:to] = np.add.reduceat(value, starts)
+            at = to
+        return mix(out + (self.end - self.start).astype(np.uint64))
 
     def owner(self) -> np.ndarray:
         """Index of the text of each word."""

@@ -139,7 +139,7 @@ def cut_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return marked, run_start, np.minimum(offsets[1:][word] - run_start, LONGEST_RUN), word
 
 
-def by_length(marked: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int = 100_000):
+def by_length(marked: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int = 20_000):
     """Runs of one length at a time, as (indices, matrix of bytes)."""
     for length in np.unique(size).tolist():
         at = np.flatnonzero(size == length)
@@ -170,6 +170,7 @@ class Model:
         out = np.zeros((len(column), len(self.languages)))
         if len(words.start):
             _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+            which = which.astype(np.int32)
             scores = word_scores(self.pieces, self.probabilities, words.text, words.start[first], words.end[first])
             filled = np.flatnonzero(np.diff(words.first))
             for k in range(out.shape[1]):

@@ -129,7 +129,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Payloads of blocks given with lengths that do not rise."""
     lanes, longest = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((longest, lanes), np.uint16)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     model, coder = _Model(lanes), _Range(lanes)
@@ -144,7 +144,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # lanes with an id at step t
     for t in range(longest):
         m = int(active[t])
-        now = ids[t, :m]
+        now = ids[t, :m].astype(np.int64)
         model.look(m)
         order = model.which(now)
         below, size = model.share(order)
@@ -173,11 +173,11 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
 def _decode(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     """The ids of blocks whose numbers of ids do not rise."""
     lanes, longest = len(payloads), int(sizes[0])
-    words = np.zeros((lanes, max(len(p) for p in payloads) // 4 + 2), np.uint64)
+    words = np.zeros((lanes, max(len(p) for p in payloads) // 4 + 2), np.uint32)
     for k, p in enumerate(payloads):
         words[k, : len(p) // 4] = np.frombuffer(p, "<u4")
     model, coder = _Model(lanes), _Range(lanes)
-    code = (words[:, 0] << _S32) | words[:, 1]
+    code = (words[:, 0].astype(np.uint64) << _S32) | words[:, 1]
     done = np.full(lanes, 2, np.int64)
     ids = np.zeros((longest, lanes), np.uint16)
 
