@@ -233,7 +233,8 @@ def profile_modules(docs: DataFrame) -> DataFrame:
 
 def explode_top_functions(modules: DataFrame) -> DataFrame:
     """One row per top function with its rank in the module."""
-    listed = F.slice("top_functions", 1, K.TOP_FUNCTIONS)  # see find_functions
+    # a mapped array, since a filter on the size of the plain one would be pushed below the extraction
+    listed = F.transform("top_functions", lambda f: f)
     return modules.select(
         "repo", "path", "language", F.posexplode(listed).alias("pos", "f")
     ).select("repo", "path", "language", (F.col("pos") + 1).alias("rank"), "f.*")

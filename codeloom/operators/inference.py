@@ -147,7 +147,23 @@ def _replies(raw: str) -> dict[str, dict]:
     start, end = raw.find("["), raw.rfind("]")
     if start < 0 or end < 0:
         raise ValueError("reply holds no JSON array")
-    return {obj.get("hash"): obj for obj in json.loads(raw[start : end + 1])}
+    objects = json.loads(raw[start : end + 1])
+    return {x["hash"]: x for x in objects if isinstance(x, dict) and isinstance(x.get("hash"), str)}
+
+
+UNANSWERED = "the reply leaves the request out"
+
+
+def _texts(answer: object) -> tuple[str | None, str | None, str | None]:
+    """Summary and description of an answer, and what is wrong with it."""
+    if answer is None:
+        return None, None, UNANSWERED
+    if not isinstance(answer, dict):
+        return None, None, "the answer is no object"
+    said = [answer.get(k) for k in ("summary", "description")]
+    if any(x is not None and not isinstance(x, str) for x in said):
+        return None, None, "the answer is no text"
+    return said[0], said[1], None
 
 
 def describe(
@@ -160,7 +176,8 @@ def describe(
     """``(sha, summary, error)`` for every ``(sha, signature, body)``.
 
     Without a model, and for a batch that keeps failing, the summary is the heuristic
-    one. A request the reply leaves out gets the fixed default.
+    one, as for an answer that is not text. A request the reply leaves out gets the fixed
+    default. All of these carry an error, so that they are asked again next time.
     """
     if make_describer is None:
         plain = text.heuristic_summary(F.col("body"))
@@ -180,14 +197,14 @@ def describe(
                 return _replies(describer(items))
 
             found, error = with_retries(call, retries, lambda n: backoff**n)
-            got = [(found or {}).get(sha) or {} for sha in frame["sha"]]
+            told = [_texts((found or {}).get(sha)) for sha in frame["sha"]]
             yield pd.DataFrame(
                 {
                     "sha": frame["sha"].to_numpy(),
                     "body": frame["body"].to_numpy(),
-                    "said": [g.get("summary") for g in got],
-                    "described": [g.get("description") for g in got],
-                    "error": [error] * len(frame),
+                    "said": [t[0] for t in told],
+                    "described": [t[1] for t in told],
+                    "error": [error or t[2] for t in told],
                 }
             )
 
@@ -199,7 +216,7 @@ def describe(
     )
     return asked.select(
         "sha",
-        F.when(F.col("error").isNotNull(), text.heuristic_summary(F.col("body")))
+        F.when(F.col("error") != UNANSWERED, text.heuristic_summary(F.col("body")))
         .otherwise(text.summary_or_default(F.col("said"), F.col("described")))
         .alias("summary"),
         "error",

@@ -99,14 +99,14 @@ def test_descriptions_from_a_model(spark, tmp_path):
             if any("broken" in i["body"] for i in items):
                 return "no json here"
             said = [
-                {"hash": i["hash"], "summary": " says\n" + i["signature"]}
+                {"hash": i["hash"], "summary": 5 if "number" in i["body"] else " says\n" + i["signature"]}
                 for i in items if "silent" not in i["body"]
             ]
             return "Sure: " + json.dumps(said) + " bye"
 
         return describe
 
-    rows = [("1", "f()", "body"), ("2", "g()", "silent"), ("3", "h()", "broken\nx"), ("4", "i()", "b")]
+    rows = [("1", "f()", "body"), ("2", "g()", "silent"), ("3", "h()", "broken\nx"), ("4", "i()", "b"), ("5", "j()", "number\ny")]
     frame = spark.createDataFrame(rows, "sha string, signature string, body_short string")
     held = spark.createDataFrame([("m", "4", "known")], "model string, sha string, summary string")
     found = inference.describe_cached(
@@ -114,10 +114,11 @@ def test_descriptions_from_a_model(spark, tmp_path):
     )
     got = {r["sha"]: r["summary"] for r in found.entries.collect()}
     assert got == {
-        "1": "says f()", "2": "<summary unavailable>", "3": "Performs: broken", "4": "known"
+        "1": "says f()", "2": "<summary unavailable>", "3": "Performs: broken", "4": "known",
+        "5": "Performs: number",
     }
-    assert {r["sha"] for r in found.fresh.collect()} == {"1", "2"}
-    assert {r["sha"] for r in found.rejects.collect()} == {"3"}
+    assert {r["sha"] for r in found.fresh.collect()} == {"1"}
+    assert {r["sha"] for r in found.rejects.collect()} == {"2", "3", "5"}
 
 
 def test_salvage(spark):
