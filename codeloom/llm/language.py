@@ -24,7 +24,7 @@ ROUNDS = 3
 LONGEST_PIECE = 16  # bytes; longer pieces of the vocabulary are left out
 LONGEST_RUN = 32  # bytes of a word that are segmented together; a longer word is several runs
 FLOOR = 1e-7  # of a single byte, so that every word has a segmentation
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARK = 32  # stands before the first byte of a word
 

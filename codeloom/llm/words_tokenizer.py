@@ -16,7 +16,7 @@ from codeloom.llm.common import Words, buffers, not_space, ranges
 
 VOCABULARY = "word_bpe_49k.json"
 MEMO_WORDS = 500_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,60})([.,;:!?]*)")
 
 
