@@ -107,6 +107,8 @@ def ask_shard(key: tuple, block: pd.DataFrame, shard: pd.DataFrame, least: float
         q, k = q[other], k[other]
         order = np.argsort(q, kind="stable")
         q, k = q[order] + at, k[order]
+        if not len(q):
+            continue
         np.add.at(total, q, copies[k])
         starts = np.flatnonzero(np.diff(q, prepend=-1))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)], strict=True):

@@ -137,6 +137,8 @@ def test_embeddings(spark):
     assert [found[i].component_id for i in ids] == want
     assert found[None].kept is None and found[0].kept
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+    alone = spark.createDataFrame([(k, [float(k == j) for j in range(4)]) for k in range(4)], "vec_id long, embedding array<double>")
+    assert {(r.n_links, r.kept) for r in embedding_dedup.near_vectors(alone).collect()} == {(0, True)}
 
 
 def test_token_files(hard, none, spark):
