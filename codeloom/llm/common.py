@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,10 +26,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, run_folder(df.sparkSession, name))
 
 
+def _trim() -> None:
+    """Give what a task has freed back to the system: its worker lives on beside later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def over_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _trim()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(task, schema)
 
 
 def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
