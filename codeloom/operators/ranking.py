@@ -50,3 +50,14 @@ def cap_files(docs: DataFrame, n: int) -> DataFrame:
         return docs
     kept = priority_limit(docs.select("repo", "path"), n)
     return keep_listed(docs, kept, ["repo", "path"])
+
+
+def single_files(files: DataFrame, latest: str | None = None) -> DataFrame:
+    """One row per ``(repo, path)``: of rows for one file that with the greatest ``latest``.
+
+    Without ``latest``, and among equals, the greatest of the other columns in their order wins.
+    """
+    key = ["repo", "path"]
+    rest = [c for c in files.columns if c not in (*key, latest)]
+    order = F.struct(*([latest] if latest else []), *rest)
+    return files.groupBy(*key).agg(F.max(order).alias("_row")).select(*key, "_row.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
+from codeloom.operators.skew import HOT_ROWS, skew_join
 from codeloom.schemas import REPLIES
 
 def parse_strict(document: Column, kind: str) -> Column:
@@ -41,15 +42,21 @@ def salvage_objects(replies: DataFrame, schema: str, raw: str = "raw") -> DataFr
     return replies.withColumn("item", found)
 
 
-def match_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
+def match_replies(
+    requests: DataFrame, replies: DataFrame, order: str = "raw", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Give every ``(sha, ...)`` request the summary a raw reply holds for its hash.
 
-    A hash that several replies answer takes the last by text order, and one that
-    none answers takes the fixed default.
+    The last answer to a hash counts: that of the reply with the greatest ``order``, and
+    within a reply the one further back. A hash that none answers takes the fixed default.
     """
-    parsed = salvage_arrays(replies, REPLIES).select(F.explode("items").alias("r"))
+    parsed = salvage_arrays(replies, REPLIES).select(
+        F.col(order).alias("_reply"), F.posexplode("items").alias("_pos", "r")
+    )
     summary = text.summary_or_default(F.col("r.summary"), F.col("r.description"))
-    answers = parsed.select(F.col("r.hash").alias("sha"), summary.alias("summary"))
-    best = answers.groupBy("sha").agg(F.max("summary").alias("summary"))
-    matched = requests.join(best, "sha", "left")
+    answers = parsed.select(
+        F.col("r.hash").alias("sha"), summary.alias("summary"), F.struct("_reply", "_pos").alias("_at")
+    )
+    best = answers.groupBy("sha").agg(F.max_by("summary", "_at").alias("summary"))
+    matched = skew_join(requests, best, ["sha"], "left", hot_rows=hot_rows)
     return matched.withColumn("summary", text.summary_or_default(F.col("summary")))

@@ -127,10 +127,13 @@ def top_k_batch(
     multiplies its points with it batch by batch and keeps k candidates per query, so
     what is shuffled is tasks x queries x k short rows, whatever the number of points.
     More queries than one block holds mean further passes, not a bigger broadcast.
+    A query that is null or shorter than the longest one has no hits, as a point of
+    another length is no hit.
     """
     dim = queries.select(F.max(F.size("vector"))).first()[0]
     if dim is None:
         raise ValueError("no queries")
+    queries = checked_points(queries, dim)[0]
     per_block = max(1, block_bytes // (8 * dim))
     n_queries = queries.count()
     usable = checked_points(points, dim)[0]

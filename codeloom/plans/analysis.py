@@ -115,7 +115,8 @@ def analyse(
         requests, held, make_embedder, embed_model, folder, dim
     )
     points = tables.upsert_points(
-        spark, f"{folder}/points", tables.make_points(chunks, embedded.entries), dim
+        spark, f"{folder}/points", tables.make_points(chunks, embedded.entries), dim,
+        landed=files,
     )
     tables.append_cache(embedded.fresh, f"{caches}/vectors")
 

@@ -151,11 +151,11 @@ add(
 )
 add(
     "points_upsert",
-    "SELECT sha256('repo' || chr(0) || path || chr(0) || '0') AS id, path, "
-    "CAST(0 AS INTEGER) AS chunk_index, sha256(t) AS text_sha FROM ("
-    "SELECT 'doc/' || doc_id AS path, text AS t FROM documents "
-    "WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL "
-    "SELECT 'doc/' || vec_id, 'label ' || label FROM embeddings "
+    "SELECT sha256('repo' || chr(0) || path || chr(0) || i) AS id, path, "
+    "CAST(i AS INTEGER) AS chunk_index, sha256(t) AS text_sha FROM ("
+    "SELECT 'doc/' || doc_id AS path, text AS t, unnest(range((doc_id // 3) % 4)) AS i "
+    "FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL "
+    "SELECT 'doc/' || vec_id, 'label ' || label, unnest(range(vec_id % 3 + 1)) FROM embeddings "
     "WHERE vec_id NOT IN (SELECT doc_id FROM labels JOIN documents USING (doc_id)))",
 )
 

@@ -113,26 +113,28 @@ def vector_dim_check(spark, sf_dir):
     return fits.select("vec_id", F.size("vector").alias("dim"), "fits")
 
 
-def _placed(rows: DataFrame, key: str, body: F.Column) -> DataFrame:
+def _placed(rows: DataFrame, key: str, body: F.Column, n: F.Column) -> DataFrame:
+    """Points of one file per row, in ``n`` chunks."""
     path = F.concat(F.lit("doc/"), F.col(key).cast("string"))
     point = rows.select(
-        F.lit("repo").alias("repo"), path.alias("path"), F.lit(0).alias("chunk_index"),
-        body.alias("text"),
+        F.lit("repo").alias("repo"), path.alias("path"),
+        F.posexplode(F.array_repeat(body, n.cast("int"))).alias("chunk_index", "text"),
     )
-    return point.select(tables.point_id().alias("id"), "path", "chunk_index", "text")
+    return point.select(tables.point_id().alias("id"), "repo", "path", "chunk_index", "text")
 
 
 @query
 def points_upsert(spark, sf_dir):
-    held = fx.table(spark, sf_dir, "embeddings")
+    """Labelled documents land anew, each twice, and grow, shrink or lose all chunks."""
     label = F.concat(F.lit("label "), F.col("label").cast("string"))
-    target = _placed(held, "vec_id", label)
+    held = fx.table(spark, sf_dir, "embeddings")
+    target = _placed(held, "vec_id", label, F.col("vec_id") % 3 + 1)
     labelled = fx.table(spark, sf_dir, "labels").select("doc_id")
-    new = _placed(
-        fx.table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi"),
-        "doc_id", F.col("text"),
-    )
-    merged = tables.upsert(target, new)
+    docs = fx.table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")
+    new = _placed(docs, "doc_id", F.col("text"), F.floor(F.col("doc_id") / 3) % 4)
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    landed = docs.select(F.lit("repo").alias("repo"), path.alias("path"))
+    merged = tables.replace_files(target, new, landed.union(landed))
     return merged.select(
         "id", "path", "chunk_index", text.content_hash(F.col("text")).alias("text_sha")
     )

@@ -50,4 +50,5 @@ TOP_FUNCTION = (
 REPLIES = "array<struct<hash:string,summary:string,description:string>>"
 EMBED_CACHE = "model string, sha string, vector array<float>"
 SUMMARY_CACHE = "model string, sha string, summary string"
+POINTS = "id string, vector array<float>, path string, chunk_index int, text string, repo string"
 FILES = "repo string, path string, content binary"

@@ -1,45 +1,19 @@
-"""Written tables: versioned points and caches on any shared file system."""
+"""Written tables: points by repository and caches on any shared file system."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom import schemas
 from codeloom.functions import paths
-from codeloom.operators.skew import HOT_ROWS, skew_join
+from codeloom.operators.skew import HOT_ROWS, keep_listed, skew_join
 
-_VERSION = "version="
+FILE = ["repo", "path"]
 
-
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions of a table, oldest first."""
+def _exists(spark: SparkSession, base: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(_VERSION) and fs.exists(done):
-            found.append(int(name[len(_VERSION) :]))
-    return sorted(found)
-
-
-def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
-    """The newest committed version, or None before the first one."""
-    found = _versions(spark, base)
-    return spark.read.parquet(f"{base}/{_VERSION}{found[-1]}") if found else None
-
-
-def write_version(df: DataFrame, base: str, *partition_by: str) -> DataFrame:
-    """Write the next version. Readers see it once its job has committed."""
-    spark = df.sparkSession
-    found = _versions(spark, base)
-    target = f"{base}/{_VERSION}{found[-1] + 1 if found else 0}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    return spark.read.parquet(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def append_cache(entries: DataFrame, base: str) -> None:
@@ -49,8 +23,7 @@ def append_cache(entries: DataFrame, base: str) -> None:
 
 def read_cache(spark: SparkSession, base: str, schema) -> DataFrame:
     """A cache table, empty before its first entry."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, base):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(base)
 
@@ -79,17 +52,36 @@ def check_dimension(points: DataFrame, dim: int) -> DataFrame:
     return points.where(F.assert_true(size == dim, message).isNull())
 
 
-def upsert(target: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``target`` whose key is not in ``new``, and all of ``new``."""
-    return target.join(new.select(key), key, "left_anti").unionByName(new)
+def read_points(spark: SparkSession, base: str) -> DataFrame:
+    """The points table, empty before its first points."""
+    return read_cache(spark, base, schemas.POINTS).where(F.col("id").isNotNull())
+
 
+def replace_files(target: DataFrame, new: DataFrame, landed: DataFrame) -> DataFrame:
+    """Points of ``target`` whose file is not among the ``landed``, and all of ``new``."""
+    keys = landed.select(*FILE).distinct()
+    return target.join(keys, FILE, "left_anti").unionByName(new)
 
-def upsert_points(spark: SparkSession, base: str, new: DataFrame, dim: int) -> DataFrame:
-    """Upsert into a versioned points table and return its new state."""
-    checked = check_dimension(new, dim)
-    current = read_latest(spark, base)
-    merged = checked if current is None else upsert(current, checked)
-    return write_version(merged, base, "repo")
+
+def upsert_points(
+    spark: SparkSession, base: str, new: DataFrame, dim: int, landed: DataFrame
+) -> DataFrame:
+    """Replace all points of the ``landed`` files ``(repo, path)`` by those in ``new``.
+
+    A landed file without new points loses those it had. Only the partitions of landed
+    repositories are read and overwritten, each in one or more files of a bounded size.
+    A row without an id stands in each, so that one whose last point went is overwritten
+    too. A batch that is run again after a failure gives the same table.
+    """
+    repos = landed.select("repo").distinct()
+    marks = repos.select(
+        "repo", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema if f.name != "repo"]
+    )
+    held = keep_listed(read_points(spark, base), repos, ["repo"])
+    merged = replace_files(held, check_dimension(new, dim), landed).unionByName(marks)
+    writer = merged.hint("rebalance", F.col("repo")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(base)
+    return read_points(spark, base)
 
 
 def collections(repos: DataFrame) -> DataFrame:

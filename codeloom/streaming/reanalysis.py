@@ -17,19 +17,24 @@ from codeloom import schemas
 from codeloom.operators import inference
 from codeloom.operators.chunking import chunk_files
 from codeloom.operators.functions import profile_modules
+from codeloom.operators.ranking import single_files
 from codeloom.session import stage
 from codeloom.sources import tables
 from codeloom.sources.corpus import scan_files
 
 
 def landing_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw files ``(repo, path, content)`` as they land in a Parquet folder."""
-    return spark.readStream.schema(schemas.FILES).parquet(folder)
+    """Raw files ``(repo, path, content)`` and when they ``landed`` in a Parquet folder.
+
+    A file whose content is null was deleted.
+    """
+    landed = F.col("_metadata.file_modification_time").alias("landed")
+    return spark.readStream.schema(schemas.FILES).parquet(folder).select("*", landed)
 
 
 def stream_profiles(files: DataFrame) -> DataFrame:
     """Module profile of every file that lands; no state is kept."""
-    return profile_modules(scan_files(files))
+    return profile_modules(scan_files(files.select("repo", "path", "content")))
 
 
 def index_batch(
@@ -37,16 +42,20 @@ def index_batch(
 ) -> DataFrame:
     """Chunk, embed and upsert one micro-batch; returns the points table after it.
 
-    Points are keyed by place and vectors by content, so a batch that is replayed after
-    a failure changes nothing.
+    All points of a landed file are replaced; of several landings in one batch the latest
+    counts. Vectors are keyed by content, so a batch that is replayed after a failure
+    changes nothing.
     """
     run = f"{folder}/batches/{uuid.uuid4().hex}"
-    chunks = stage(chunk_files(scan_files(files)), f"{run}/chunks")
+    latest = single_files(files, "landed" if "landed" in files.columns else None)
+    kept = latest.select("repo", "path", "content")
+    chunks = stage(chunk_files(scan_files(kept)), f"{run}/chunks")
     held = tables.read_cache(files.sparkSession, f"{folder}/vectors", schemas.EMBED_CACHE)
     requests = chunks.select(F.col("chunk_sha").alias("sha"), "text")
     found = inference.embed_cached(requests, held, make_embedder, model, run, dim)
     points = tables.upsert_points(
-        files.sparkSession, f"{folder}/points", tables.make_points(chunks, found.entries), dim
+        files.sparkSession, f"{folder}/points", tables.make_points(chunks, found.entries), dim,
+        landed=files,
     )
     tables.append_cache(found.fresh, f"{folder}/vectors")
     return points

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import schemas
 from codeloom.operators import cache, inference, ranking, replies, report, search
 from codeloom.operators.skew import hot_keys, skew_join
 from codeloom.sources import tables
@@ -200,18 +201,53 @@ def test_contexts_and_prompts(spark):
     assert "EV" in text and "[file: a.py#0]" in text and "{" + "evidence}" not in text
 
 
-def test_upsert_replaces_and_versions(spark, tmp_path):
+def test_upsert_replaces_files_and_touches_no_other_repository(spark, tmp_path):
     base = str(tmp_path / "points")
-    first = spark.createDataFrame([("a", [1.0], "r"), ("b", [2.0], "r")],
-                                  "id string, vector array<float>, repo string")
-    assert tables.upsert_points(spark, base, first, 1).count() == 2
-    second = spark.createDataFrame([("b", [5.0], "r"), ("c", [6.0], "s")], first.schema)
-    after = tables.upsert_points(spark, base, second, 1)
-    assert {r["id"]: r["vector"][0] for r in after.collect()} == {"a": 1.0, "b": 5.0, "c": 6.0}
-    assert tables.read_latest(spark, base).count() == 3
+
+    def points(*rows):
+        made = [(f"{r}/{p}/{k}", [float(x)], p, k, "t", r) for r, p, n, x in rows for k in range(n)]
+        return spark.createDataFrame(made, schemas.POINTS)
+
+    def landed(*keys):
+        return spark.createDataFrame(list(keys), "repo string, path string")
+
+    def files(repo):
+        return {f.name: f.stat().st_mtime_ns for f in (tmp_path / "points" / f"repo={repo}").iterdir()}
+
+    first = points(("1", "a", 7, 1), ("1", "b", 2, 1), ("02", "a", 3, 1), ("3", "only", 1, 1))
+    keys = landed(("1", "a"), ("1", "b"), ("02", "a"), ("3", "only"))
+    assert tables.upsert_points(spark, base, first, 1, keys).count() == 13
+    before = files("02")
+    second = points(("1", "a", 1, 5), ("1", "c", 2, 5))
+    keys = landed(("1", "a"), ("1", "a"), ("1", "c"), ("3", "only"))
+    after = tables.upsert_points(spark, base, second, 1, keys)
+    found = sorted((r["repo"], r["path"], r["chunk_index"], r["vector"][0]) for r in after.collect())
+    assert found == [
+        ("02", "a", 0, 1.0), ("02", "a", 1, 1.0), ("02", "a", 2, 1.0), ("1", "a", 0, 5.0),
+        ("1", "b", 0, 1.0), ("1", "b", 1, 1.0), ("1", "c", 0, 5.0), ("1", "c", 1, 5.0),
+    ]
+    assert files("02") == before
     with pytest.raises(Exception, match="vector must have"):
-        tables.upsert_points(spark, base, second, 2)
-    assert tables.read_latest(spark, base).count() == 3
+        tables.upsert_points(spark, base, second, 2, keys)
+    assert tables.read_points(spark, base).count() == 8
+
+
+def test_last_answer_to_a_hash_counts(spark):
+    told = spark.createDataFrame(
+        [(1, '[{"hash": "x", "summary": "b first"}, {"hash": "y", "summary": "z"}]'),
+         (2, '[{"hash": "x", "summary": "c"}, {"hash": "x", "summary": "a last"}]'), (3, "{oops")],
+        "n int, raw string",
+    )
+    asked = spark.createDataFrame([("x", i) for i in range(40)] + [("y", 40), ("none", 41), (None, 42)], "sha string, i int")
+    got = {r["i"]: r["summary"] for r in replies.match_replies(asked, told, "n", hot_rows=10).collect()}
+    assert len(got) == 43 and {got[i] for i in range(40)} == {"a last"}
+    assert got[40] == "z" and got[41] == got[42] == "<summary unavailable>"
+
+
+def test_batch_search_passes_over_queries_of_another_length(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0]), (3, None)], "query_id long, vector array<float>")
+    assert [(r["query_id"], r["id"]) for r in search.top_k_batch(points, asked, 1).collect()] == [(1, 1)]
 
 
 def test_collections(spark):
