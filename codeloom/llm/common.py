@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from codeloom.session import few, run_folder, ship_package, stage
 
 SLICE_BYTES = 1 << 20  # text bytes that one step of vectorised work holds
+ARROW_BYTES = 4 << 20  # of an Arrow batch, on its way to a worker
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -35,13 +37,20 @@ def _trim() -> None:
 
 
 def over_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers.
+
+    Batches are bounded by bytes (Spark's own bound is 64 MB, held by both sides of every
+    task) unless the session sets a bound itself.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
         _trim()
 
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    if spark.conf.get(_ARROW_SETTING, None) is None:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+    ship_package(spark)
     return df.mapInArrow(task, schema)
 
 
