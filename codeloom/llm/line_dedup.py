@@ -5,15 +5,17 @@ Prefix doubling names the first 1, 2, 4 ... lines of all suffixes: two names of
 length give one of the whole length. Suffixes whose name occurs once are settled and
 leave. Equal names of 2^k lines are the intervals of the suffix array where the longest
 common prefix is at least 2^k; all but the first suffix of an interval begin a later copy.
-Doubling stops at ``least_lines``: deeper names split intervals, but cannot change which
-lines are covered by a later copy. Runs that follow each other join to maximal runs.
+Lengths between powers of two are named by the greatest power and the rest after it.
+Doubling stops at ``least_lines``, and no whole suffix array is built: a longer run is
+covered by its windows of ``least_lines`` lines. Runs that follow each other join to
+maximal runs.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import staged, table
@@ -31,25 +33,47 @@ def line_suffixes(docs: DataFrame) -> DataFrame:
 
 def later_copies(docs: DataFrame, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, n): lines that lie in a later copy of a run of ``least_lines`` lines, or of
-    1, 2, 4 ... lines with ``least_words`` words. Runs without words do not count."""
+    fewer lines with ``least_words`` words. Runs without words do not count, so lines of a
+    longer run stay if all windows of ``least_lines`` lines around them have no words."""
     if least_lines < 1 or least_lines & (least_lines - 1):
         raise ValueError("least_lines must be a power of two")
     place = F.struct(F.col("key").isNull().alias("a"), F.col("key").alias("b"), F.col("row").alias("c"), F.col("n").alias("d"))
-    names, size, copies = staged(line_suffixes(docs), "suffixes"), 1, []
+    names, size, copies, held = staged(line_suffixes(docs), "suffixes"), 1, [], {}
     while True:
-        repeated = names.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("rows > 1").drop("rows")
-        live = staged(names.join(staged(repeated, "intervals"), "name"), "live")
+        held[size] = _repeated(names, place)
         enough = (F.col("words") >= least_words) | ((F.col("words") > 0) & F.lit(size == least_lines))
-        later = live.where((place != F.col("first")) & enough)
-        copies.append(later.select("row", F.explode(F.sequence(F.col("n"), F.col("n") + size - 1)).alias("n")))
+        copies.append(_covered(held[size].where(enough), place, size))
+        for rest in range(1, size if size < least_lines else 1):
+            longer = _joined(held[size], held[rest], size)
+            if 2 * size == least_lines:  # not part of a longer name
+                longer = longer.where(F.col("words") >= least_words)
+            held[size + rest] = _repeated(staged(longer, "suffixes"), place)
+            copies.append(_covered(held[size + rest].where(F.col("words") >= least_words), place, size + rest))
         if size == least_lines:
             return reduce(DataFrame.unionByName, copies).distinct()
-        ahead = live.select("row", (F.col("n") - size).alias("n"), F.col("name").alias("name2"), F.col("words").alias("words2")).distinct()
-        both = live.select("key", "row", "n", "name", "words").join(ahead, ["row", "n"])
-        names = staged(both.select("key", "row", "n", F.xxhash64("name", "name2").alias("name"), (F.col("words") + F.col("words2")).alias("words")), "suffixes")
+        names = staged(_joined(held[size], held[size], size), "suffixes")
         size *= 2
 
 
+def _repeated(names: DataFrame, place: Column) -> DataFrame:
+    """The suffixes whose name occurs more than once, with the ``first`` place of the name."""
+    repeated = names.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("rows > 1").drop("rows")
+    return staged(names.join(staged(repeated, "intervals"), "name"), "live")
+
+
+def _covered(live: DataFrame, place: Column, size: int) -> DataFrame:
+    """(row, n): the lines of windows of ``size`` lines that are not the first of their name."""
+    later = live.where(place != F.col("first"))
+    return later.select("row", F.explode(F.sequence(F.col("n"), F.col("n") + size - 1)).alias("n"))
+
+
+def _joined(live: DataFrame, then: DataFrame, size: int) -> DataFrame:
+    """Suffixes named by ``live`` (``size`` lines) and by ``then`` for the lines after those."""
+    ahead = then.select("row", (F.col("n") - size).alias("n"), F.col("name").alias("name2"), F.col("words").alias("words2")).distinct()
+    both = live.select("key", "row", "n", "name", "words").join(ahead, ["row", "n"])
+    return both.select("key", "row", "n", F.xxhash64("name", "name2").alias("name"), (F.col("words") + F.col("words2")).alias("words"))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, and ``n_lines``, ``n_deleted``.
 

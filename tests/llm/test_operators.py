@@ -327,3 +327,35 @@ def test_line_dedup(hard, none):
     assert found[9].n_deleted == 0 and found[103].n_deleted == 1 and found[103].text == ""
     assert (found[2].text, found[2].n_lines, found[3].n_lines) == (None, 0, 1)
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def brute_later_lines(texts, least_lines, least_words):
+    """(text, line) in a later copy of any run of enough words or lines; no line is without words."""
+    gone, seen = set(), set()
+    for d, text in enumerate(texts):
+        lines = text.split("\n")
+        for n in range(len(lines)):
+            for to in range(n + 1, len(lines) + 1):
+                run, size = tuple(lines[n:to]), sum(len(words(x)) for x in lines[n:to])
+                if run in seen and (size >= least_words or to - n >= least_lines):
+                    gone.update((d, k) for k in range(n, to))
+                seen.add(run)
+    return gone
+
+
+@pytest.mark.parametrize("least_lines", [1, 4, 8])
+def test_line_runs_of_every_length(spark, least_lines):
+    rng = np.random.default_rng(least_lines)
+    lines = [" ".join(f"w{k}x{j}" for j in range(rng.integers(1, 30))) for k in range(60)]
+    long = [" ".join(f"v{k}x{j}" for j in range(20)) for k in range(3)]
+    texts = ["\n".join([*long, f"own {k}"]) for k in range(2)]
+    runs = [[lines[k] for k in rng.integers(0, len(lines), size)] for size in range(1, 10) for _ in range(2)]
+    for k in range(30):
+        parts = [[f"mine {k} {j}", *runs[i]] for j, i in enumerate(rng.integers(0, len(runs), 3))]
+        texts.append("\n".join(x for part in parts for x in part))
+    gone = brute_later_lines(texts, least_lines, 50)
+    assert {(1, 0), (1, 1), (1, 2)} <= gone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least_lines=least_lines).collect()}
+    for d, text in enumerate(texts):
+        assert found[d] == "\n".join(x for n, x in enumerate(text.split("\n")) if (d, n) not in gone)
