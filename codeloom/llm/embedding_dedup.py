@@ -2,8 +2,9 @@
 
 Equal vectors are one node. Nodes are dealt into shards by hash; each shard's graph is
 built in one task and written. Blocks of queries then walk every shard's graph. A beam
-that ends full of links is widened until it is not; a seeded audit compares each block
-with brute force and doubles the beam until recall is high enough. Links are verified in
+that ends full of links is widened until it is not. Before that, a seeded audit compares
+queries with brute force in all shards, draws more until enough of them have links, and
+takes the least beam whose mean recall per query is high enough. Links are verified in
 double precision. A task adds links up itself: it returns counts, and for connectivity a
 forest of at most one edge per node, never all pairs of a dense group.
 """
@@ -28,8 +29,12 @@ SHARD_NODES = 50_000
 BLOCK_NODES = 8_192
 BEAM = 24
 WIDEST = 192  # a wider beam is the whole shard
-AUDIT, RECALL = 64, 0.99
+AUDIT, RECALL = 512, 0.99
+ENOUGH = 64  # queries with links that an audit needs
+MOST_AUDIT = 8_192  # queries drawn at most
+AUDIT_STEP = 64  # queries compared with a whole shard at a time
 _FOUND = "node long, n long, root long"
+_AUDITED = "dim int, node long, beam int, truth long, found long"
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -61,8 +66,8 @@ def _whole(queries: np.ndarray, units: np.ndarray, least: float) -> tuple[np.nda
     return np.nonzero(queries @ units.T >= least)
 
 
-def _walk(graph: Graph, queries: np.ndarray, units: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of the links that beams find; full beams are widened."""
+def _walk(graph: Graph, queries: np.ndarray, units: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node) of the links that beams find, and the queries compared with the whole shard; full beams are widened."""
     left = np.arange(len(queries))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(left) and beam <= WIDEST and beam < len(units):
@@ -77,32 +82,91 @@ def _walk(graph: Graph, queries: np.ndarray, units: np.ndarray, least: float, be
         found.append((left[q], k))
     q, k = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     sure = np.einsum("kd,kd->k", queries[q], units[k]) >= least
-    return q[sure], k[sure]
+    return q[sure], k[sure], left
 
 
-def audited_beam(graph: Graph, queries: np.ndarray, nodes: np.ndarray, units: np.ndarray, least: float) -> int:
-    """The beam whose recall on a seeded sample of the queries is ``RECALL`` or more."""
-    sample = np.argsort(nodes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:AUDIT]
-    asked = queries[sample]
-    truth = len(_whole(asked, units, least)[0])
-    beam = BEAM
-    while beam <= WIDEST and len(_walk(graph, asked, units, least, beam)[0]) < RECALL * truth:
-        beam *= 2
-    return beam
+def _beams() -> list[int]:
+    beams = [BEAM]
+    while beams[-1] * 2 <= WIDEST:
+        beams.append(beams[-1] * 2)
+    return beams
 
 
-def ask_shard(key: tuple, block: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFrame:
+def audit_shard(sample: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links of queries in a shard, and those found, by beam: a query's own node is no link,
+    and queries that a beam leaves to the whole shard are no evidence for it."""
+    rows = []
+    if len(sample) and len(shard):
+        nodes, _, units, graph = _load(shard["graph"].iloc[0])
+        asked, dim = sample["node"].to_numpy(), int(shard["dim"].iloc[0])
+        queries = _units(np.stack(sample["vector"].to_numpy()).astype(np.float64))
+        for at in range(0, len(asked), AUDIT_STEP):
+            mine, own = queries[at : at + AUDIT_STEP], asked[at : at + AUDIT_STEP]
+
+            def links(q: np.ndarray, k: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+                return np.bincount(q[nodes[k] != own[q]], minlength=len(own))
+
+            truth = links(*_whole(mine, units, least))
+            some = np.flatnonzero(truth)
+            for beam in _beams() if len(some) else ():
+                q, k, whole = _walk(graph, mine[some], units, least, beam)
+                found = links(some[q], k)
+                told = np.delete(some, whole)
+                rows.append(pd.DataFrame({"dim": dim, "node": own[told], "beam": beam, "truth": truth[told], "found": found[told]}))
+    return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("dim", "node", "beam", "truth", "found")}).astype("int64")
+
+
+def pick_beam(seen: dict[int, tuple[int, float]], everyone: bool, last: bool) -> int | None:
+    """The least beam that passes, from beam -> (queries with links, their mean recall); None asks for more queries.
+
+    With ``everyone`` drawn, few queries with links are all there are. In the ``last`` draw
+    too few are no pass: the widest beam is taken if it lost nothing seen, else the whole shard.
+    """
+    for beam in _beams():
+        queries, recall = seen.get(beam, (0, 1.0))
+        if (everyone or queries >= ENOUGH) and recall >= RECALL:
+            return beam
+    if not (everyone or last) and min(seen.get(beam, (0, 1.0))[0] for beam in _beams()) < ENOUGH:
+        return None
+    queries, recall = seen.get(_beams()[-1], (0, 1.0))
+    return _beams()[-1] if queries < ENOUGH and recall >= RECALL else 2 * WIDEST
+
+
+def audited_beams(nodes: DataFrame, graphs: DataFrame, shards: int, count: int, least: float) -> dict[int, int]:
+    """dim -> beam. Recall is that of a query over all shards, averaged over queries; draws
+    grow fourfold up to ``MOST_AUDIT`` queries or all nodes."""
+    beams: dict[int, int] = {}
+    open_ = sorted(r.dim for r in graphs.select("dim").distinct().collect())
+    draw, parts = AUDIT, 1 << 30
+    while open_:
+        share = min(parts, -(-draw * parts // max(count, 1)))
+        drawn = nodes.where(F.col("dim").isin(open_) & (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)) < share))
+        asked = drawn.select("dim", "node", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        by = ("dim", "shard")
+        told = asked.groupBy(*by).cogroup(graphs.where(F.col("dim").isin(open_)).groupBy(*by)).applyInPandas(lambda a, b: audit_shard(a, b, least), _AUDITED)
+        queries = told.groupBy("dim", "beam", "node").agg((F.sum("found") / F.sum("truth")).alias("recall"))
+        rows = queries.groupBy("dim", "beam").agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall")).collect()
+        for dim in open_:
+            beam = pick_beam({r.beam: (r.n, r.recall) for r in rows if r.dim == dim}, share == parts, draw >= MOST_AUDIT)
+            if beam is not None:
+                beams[dim] = beam
+        open_ = [d for d in open_ if d not in beams]
+        draw *= 4
+    return beams
+
+
+def ask_shard(block: pd.DataFrame, shard: pd.DataFrame, least: float, beams: dict[int, int]) -> pd.DataFrame:
     """Links between a block of queries and a shard: copies linked per query, and a forest."""
     if not len(block) or not len(shard):
         return pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
     nodes, copies, units, graph = _load(shard["graph"].iloc[0])
     asked = block["node"].to_numpy()
     queries = _units(np.stack(block["vector"].to_numpy()).astype(np.float64))
-    beam = audited_beam(graph, queries, asked, units, least)
+    beam = beams[int(shard["dim"].iloc[0])]
     total = np.zeros(len(asked), np.int64)
     label, mine = np.arange(len(nodes)), np.full(len(asked), -1, np.int64)
     for at in range(0, len(asked), STEP):
-        q, k = _walk(graph, queries[at : at + STEP], units, least, beam)
+        q, k, _ = _walk(graph, queries[at : at + STEP], units, least, beam)
         other = nodes[k] != asked[at + q]
         q, k = q[other], k[other]
         order = np.argsort(q, kind="stable")
@@ -129,7 +193,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing;
     vectors of different lengths never link. Equal vectors are linked, so repeated rows
-    count each other. Recall of the links is audited, not certain; none below ``least`` is
+    count each other. Recall of the links is audited, not certain; without enough queries
+    with links among ``MOST_AUDIT``, the widest beam is taken unaudited. None below ``least`` is
     returned. Other columns of ``df`` are not returned. An empty table gives no rows.
     """
     ship_package(df.sparkSession)
@@ -149,7 +214,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     asked = nodes.select("dim", "node", "vector", F.pmod(F.hash("node", F.lit(2)), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
     placed = graphs.select("dim", "shard", "graph", every(blocks).alias("block"))
     by = ("dim", "shard", "block")
-    found = staged(asked.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(lambda k, b, s: ask_shard(k, b, s, least), _FOUND), "links")
+    beams = audited_beams(nodes, graphs, shards, count, least)
+    found = staged(asked.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(lambda b, s: ask_shard(b, s, least, beams), _FOUND), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = staged(nodes.select("node", "copies", "least").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")

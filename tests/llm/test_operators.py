@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,33 @@ def test_embeddings(spark):
     assert {(r.n_links, r.kept) for r in embedding_dedup.near_vectors(alone).collect()} == {(0, True)}
 
 
+def test_audit_is_not_drowned_and_not_empty(monkeypatch):
+    """One query in a group of thousands, 70 with a link each that only a wider beam finds."""
+    rng = np.random.default_rng(3)
+    group = rng.normal(size=32) + rng.normal(size=(2_000, 32)) * 0.01
+    pairs = np.repeat(rng.normal(size=(70, 32)), 2, axis=0) + rng.normal(size=(140, 32)) * 0.01
+    nodes = pd.DataFrame({"dim": 32, "shard": 0, "node": np.arange(2_140), "copies": 1, "vector": list(np.concatenate([group, pairs]))})
+    shard = embedding_dedup.build_shard(nodes)
+    search = embedding_dedup.Graph.search
+
+    def narrow(graph, queries, beam):
+        ids, near = search(graph, queries, beam)
+        lost = (near > 0.9).sum(axis=1) < 3
+        if beam < 96:  # nothing but the query itself
+            ids[lost, 1:], near[lost, 1:] = -1, -2
+        return ids, near
+
+    monkeypatch.setattr(embedding_dedup.Graph, "search", narrow)
+    told = embedding_dedup.audit_shard(nodes.iloc[[0, *range(2_000, 2_140, 2)]], shard, 0.9)
+    assert (told["node"] >= 2_000).all() and (told["truth"] == 1).all()
+    seen = {b: (len(x), (x["found"] / x["truth"]).mean()) for b, x in told.groupby("beam")}
+    assert seen[24] == (70, 0.0) and seen[96] == (70, 1.0)
+    assert embedding_dedup.pick_beam(seen, False, False) == 96
+    assert embedding_dedup.pick_beam({}, False, False) is None
+    assert embedding_dedup.pick_beam({}, False, True) == 192 and embedding_dedup.pick_beam({}, True, True) == 24
+    assert embedding_dedup.pick_beam({b: (70, 0.5) for b in (24, 48, 96, 192)}, False, False) > embedding_dedup.WIDEST
+
+
 def test_token_files(hard, none, spark):
     tokenizer = WordTokenizer(vocabulary_path()).tokenizer
     found = token_output.write_tokens(hard, file_tokens=500).read(spark).orderBy("start").collect()
