@@ -29,10 +29,10 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 class WindowSet:
     """Windows of some benchmark items: hash -> [(words joined by a blank, item ids)]."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int) -> None:
         words = Words(pa.array([text for _, text in items], pa.string()), alphanumeric())
         raw = words.text.tobytes()
-        exact: dict[tuple[int, bytes], set[str]] = {}
+        exact: dict[tuple[int, bytes], set[str | None]] = {}
         for i, (item, _) in enumerate(items):
             a, b = int(words.first[i]), int(words.first[i + 1])
             size = min(n, b - a)
@@ -54,7 +54,7 @@ class WindowSet:
         seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
         return hashes, seen
 
-    def scan(self, words: Words) -> list[tuple[int, int, frozenset[str]]]:
+    def scan(self, words: Words) -> list[tuple[int, int, frozenset[str | None]]]:
         """(first word, number of words, item ids) of each window of the set, in order."""
         owner, raw, found = words.owner(), None, []
         for size, (hashes, seen) in self.tables.items():
@@ -70,16 +70,20 @@ class WindowSet:
         return found
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of at most ``limit`` bytes (one item at least), sized before they are fetched."""
     narrow = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     size = narrow.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     parts = -(-size // limit)
     for part in range(parts):
-        rows = narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).where("i is not null").collect()
+        rows = narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()
         yield [(r.i, r.t) for r in rows]
 
 
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
     """``docs`` and a column ``__hits``: (first word, number of words, item ids) of every window found."""
     spark = docs.sparkSession
@@ -96,7 +100,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                 owner, hits = words.owner(), batch.column(_HITS).to_pylist()
                 for at, size, ids in windows.value.scan(words):
                     doc = int(owner[at])
-                    hits[doc].append({"at": at - int(words.first[doc]), "n": size, "items": sorted(ids)})
+                    hits[doc].append({"at": at - int(words.first[doc]), "n": size, "items": sorted(ids, key=_null_last)})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, arrow)], schema=batch.schema)
 
         out = over_arrow(out if k == 0 else staged(out, "decontamination"), work, T.StructType([*schema.fields, T.StructField(_HITS, kind)]))
@@ -117,7 +121,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """One row per row of ``docs``: key, words, words hit, items with hits, digest of the items, verdict.
 
     ``items_sha256`` is the digest of the item ids, sorted as strings and joined by commas;
-    without items that of the empty string. Repeated rows each get their row; other columns
+    without items that of the empty string. Items whose id is null hit words as others do;
+    together they count as one item and are left out of the digest. Repeated rows each get their row; other columns
     of ``docs`` are not returned, so their names cannot clash.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
@@ -128,11 +133,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             hits = batch.column(_HITS).to_pylist()
             total = np.concatenate(([0], np.cumsum(_covered(words, hits))))
             n_hit, n_words = np.diff(total[words.first]), np.diff(words.first)
-            items = [sorted({i for hit in found for i in hit["items"]}) for found in hits]
+            items = [sorted({i for hit in found for i in hit["items"]}, key=_null_last) for found in hits]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit,
                 "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
+                "items_sha256": [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items],
                 "contaminated": (n_hit > 0) & (HIT_SHARE * n_hit >= n_words),
             })
 

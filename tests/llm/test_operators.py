@@ -1,5 +1,6 @@
 """Operators of the training-data pipeline against brute force, and on hard rows."""
 
+import hashlib
 import re
 import zlib
 
@@ -357,6 +358,16 @@ def test_line_dedup(hard, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("set_bytes", [1 << 20, 80])
+def test_items_without_id_hit(spark, set_bytes):
+    bench = spark.createDataFrame([(None, "the cat sat"), (None, "on the mat"), (7, "cat sat on")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "the cat sat"), (3, "dog")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontamination.contamination(docs, bench, set_bytes=set_bytes).collect()}
+    assert [(found[k].n_hit, found[k].n_items, found[k].contaminated) for k in (1, 2, 3)] == [(6, 2, True), (3, 1, True), (0, 0, False)]
+    assert [found[k].items_sha256 for k in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"7", b"")]
+    assert [r.doc_id for r in decontamination.decontaminate(docs, bench, set_bytes=set_bytes).collect()] == [3]
+
+
 def brute_later_lines(texts, least_lines, least_words):
     """(text, line) in a later copy of any run of enough words or lines; no line is without words."""
     gone, seen = set(), set()
