@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import table
 from codeloom.llm.decontamination import contamination
 from codeloom.llm.embedding_dedup import op1_embedding_dedup
+from codeloom.llm.importance import op13_importance_resample
 from codeloom.llm.language import op6_language_id
 from codeloom.llm.line_dedup import op10_line_dedup
 from codeloom.llm.mixing import op7_mix_sources
@@ -41,4 +42,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op13_importance_resample": op13_importance_resample,
 }
