@@ -15,6 +15,7 @@ from codeloom.llm.language import op6_language_id
 from codeloom.llm.line_dedup import op10_line_dedup
 from codeloom.llm.mixing import op7_mix_sources
 from codeloom.llm.ngram_join import op4_ngram_join
+from codeloom.llm.packing import op12_vector_best_fit
 from codeloom.llm.sharding import op5_shuffle_shards
 from codeloom.llm.token_counts import op3_section_tokens
 from codeloom.llm.token_output import op2_token_files
@@ -42,5 +43,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op12_vector_best_fit": op12_vector_best_fit,
     "op13_importance_resample": op13_importance_resample,
 }
