@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import table
+from codeloom.llm.conversation_repair import op11_conversation_repair
 from codeloom.llm.decontamination import contamination
 from codeloom.llm.embedding_dedup import op1_embedding_dedup
 from codeloom.llm.importance import op13_importance_resample
@@ -43,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_best_fit": op12_vector_best_fit,
     "op13_importance_resample": op13_importance_resample,
 }
