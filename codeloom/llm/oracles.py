@@ -40,6 +40,7 @@ r as (select *, lead(line, 1) over d b, lead(line, 2) over d c, lead(line, 3) ov
 k as (
   select doc_id, n, 1 s from r where w >= 50 qualify row_number() over (partition by line order by doc_id, n) > 1
   union all select doc_id, n, 2 from r where b is not null and w + wb >= 50 qualify row_number() over (partition by line, b order by doc_id, n) > 1
+  union all select doc_id, n, 3 from r where c is not null and w + wb + wc >= 50 qualify row_number() over (partition by line, b, c order by doc_id, n) > 1
   union all select doc_id, n, 4 from r where e is not null and w + wb + wc + we > 0 qualify row_number() over (partition by line, b, c, e order by doc_id, n) > 1),
 g as (select distinct doc_id, n + i as n from k, unnest(range(0, s)) u(i)),
 o as (select l.doc_id, count(*) n_lines, count(g.n) n_deleted, coalesce(string_agg(line, chr(10) order by l.n) filter (g.n is null), '') t from l left join g using (doc_id, n) group by l.doc_id)
