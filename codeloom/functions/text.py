@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -61,6 +62,53 @@ def branch_hits(text: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column
     return bind(F.lower(text), counted)
 
 
+_MARK = "\x01"
+
+
+def _runs_into(a: str, b: str) -> bool:
+    """Whether an occurrence of ``b`` may begin inside one of ``a``."""
+    return b in a or any(b.startswith(a[k:]) for k in range(1, len(a)))
+
+
+def branch_patterns(tokens: Sequence[str] = K.BRANCH_TOKENS) -> list[str]:
+    """Patterns whose matches, taken together, are as many as the tokens' occurrences.
+
+    Tokens that cannot overlap share a pattern. Words between blanks may share a blank
+    with their neighbour, but not with their own repetition, which counts every other time.
+    """
+    words = [t[1:-1] for t in tokens if len(t) > 2 and t[0] == t[-1] == " " and " " not in t[1:-1]]
+    groups: list[list[str]] = []
+    for token in tokens:
+        if token[1:-1] in words and token[0] == " ":
+            continue
+        for group in groups:
+            if not any(_runs_into(token, g) or _runs_into(g, token) for g in group):
+                group.append(token)
+                break
+        else:
+            groups.append([token])
+    found = ["(?:" + "|".join(re.escape(t) for t in group) + ")" for group in groups]
+    if words:
+        found.append(" (?:" + "|".join(f"{re.escape(w)}(?: {re.escape(w)})?" for w in words) + ")(?= )")
+    return found
+
+
+def branch_marks(lines: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column:
+    """The branch tokens of a file as short texts: its line ends with a mark for each token."""
+    joined = F.translate(F.lower(F.array_join(lines, "\n")), _MARK, "_")
+    marked = [F.regexp_replace(joined, p, _MARK) for p in branch_patterns(tokens)]
+    return F.array(*[F.regexp_replace(m, f"[^\\n{_MARK}]+", "") for m in marked])
+
+
+def branches_until(marks: Column, line: Column) -> Column:
+    """Branch tokens of the first ``line`` lines. No token spans a line end."""
+    def counted(mark: Column) -> Column:
+        return F.length(F.call_function("substring_index", mark, F.lit("\n"), line)) - line + 1
+
+    total = F.aggregate(marks, F.lit(0), lambda n, m: n + counted(m))
+    return F.when(line <= 0, 0).otherwise(total)
+
+
 def cyclomatic(text: Column, tokens: Sequence[str] = K.BRANCH_TOKENS) -> Column:
     """Complexity estimate: 1 and one for each branch token."""
     return branch_hits(text, tokens) + 1

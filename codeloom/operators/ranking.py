@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.operators.skew import keep_listed
+from codeloom.operators.skew import broadcast_few, keep_listed
+from codeloom.session import run_folder, stage
 
 
 def with_role(df: DataFrame) -> DataFrame:
@@ -56,8 +57,18 @@ def single_files(files: DataFrame, latest: str | None = None) -> DataFrame:
     """One row per ``(repo, path)``: of rows for one file that with the greatest ``latest``.
 
     Without ``latest``, and among equals, the greatest of the other columns in their order wins.
+    Files that landed more than once are looked for on the keys alone; usually there are
+    none, and no content moves. Else only the contents of those files do.
     """
     key = ["repo", "path"]
+    counts = files.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    doubled = stage(counts.select(*[F.col(c).alias(f"_{c}") for c in key]), run_folder(files.sparkSession, "doubled"))
+    if not doubled.head(1):
+        return files
+    same = [files[c].eqNullSafe(doubled[f"_{c}"]) for c in key]
+    listed = broadcast_few(doubled)
     rest = [c for c in files.columns if c not in (*key, latest)]
     order = F.struct(*([latest] if latest else []), *rest)
-    return files.groupBy(*key).agg(F.max(order).alias("_row")).select(*key, "_row.*")
+    again = files.join(listed, same, "left_semi").groupBy(*key).agg(F.max(order).alias("_row"))
+    single = files.join(listed, same, "left_anti")
+    return single.unionByName(again.select(*key, "_row.*"))

@@ -671,16 +671,11 @@ def claim_lookup(spark, sf_dir):
 
 @query
 def containing_function(spark, sf_dir):
-    facts = validation.file_facts(fx.report_files(spark, sf_dir), with_spans=True)
-    claims = _claims(spark, sf_dir)
-    located = validation.locate(claims, facts, ["report_id", "module_pos", "name"])
-    within = validation.containing_function(
-        F.col("spans"), F.col("start_line"), F.col("end_line")
-    )
-    shown = located.select("report_id", "path", "start_line", "end_line", within.alias("f"))
-    return shown.select(
-        "report_id", "path", "start_line", "end_line", F.col("f.fn_index").alias("fn_index"),
-        F.col("f.cyclomatic").alias("cyclomatic"),
+    spans = validation.function_spans(fx.report_files(spark, sf_dir))
+    found = validation.containing_functions(_claims(spark, sf_dir), spans)
+    return found.select(
+        "report_id", "path", "start_line", "end_line",
+        F.col("within.fn_index").alias("fn_index"), F.col("within.cyclomatic").alias("cyclomatic"),
     )
 
 
