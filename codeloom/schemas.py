@@ -4,16 +4,16 @@ def ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in fields.items())
 
 
-# Line numbers are read as text because a model may write anything there.
+# Line numbers and confidences are read as text because a model may write anything there.
 _METHOD = (
     "struct<name:string,signature:string,loc:int,cyclomatic_complexity:double,"
-    "confidence:double,source_ref:struct<path:string,start:string,end:string>>"
+    "confidence:string,source_ref:struct<path:string,start:string,end:string>>"
 )
 _MODULE = (
     "struct<module_name:string,paths:array<string>,path:string,description:string,"
     "lines:struct<start:string,end:string>,example_snippet:string,"
     f"key_methods:array<{_METHOD}>,complexity_notes:string,"
-    "recommendations:array<string>,confidence:double>"
+    "recommendations:array<string>,confidence:string>"
 )
 REPORT_FIELDS = {
     "project_name": "string",
