@@ -7,13 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom import constants as K
 from codeloom.functions import vectors
-from codeloom.session import ship_package
+from codeloom.session import run_folder, ship_package, stage
 
 QUERY_BLOCK_BYTES = 32 << 20
 
@@ -48,23 +49,65 @@ def top_k(
     return hits.drop("vector").withColumn("score", score_or_null(F.col("score"), zero_as_null))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query by (score descending, id); all ties at the edge compete."""
-    if len(ids) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= edge
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _first(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, id, score) the first k of every query by score descending, then id."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    keep = place < k
+    return q[keep], ids[keep], scores[keep]
+
+
+class _Nearest:
+    """The k best points of every query of a block, over tiles of points.
+
+    A tile holds ``tile_scores`` scores at most. A point competes for a query if its score
+    is not below the query's k-th best so far nor below the k-th best of its tile, so ties
+    at the edge all compete and few pairs are sorted.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, tile_scores: int) -> None:
+        self.queries, self.k = queries, k
+        self.rows = max(1, tile_scores // max(1, len(queries)))
+        self.edge = np.full(len(queries), -np.inf)
+        self.q = np.zeros(0, np.int64)
+        self.ids: np.ndarray | None = None
+        self.scores = np.zeros(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        lengths = np.linalg.norm(vectors, axis=1)
+        for at in range(0, len(ids), self.rows):
+            part = slice(at, at + self.rows)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                # equal points may differ in the last digits of a product; rounded, they tie
+                scores = np.round((vectors[part] @ self.queries.T) / lengths[part, None], 12)
+            scores[np.isnan(scores)] = -np.inf
+            edge = self.edge
+            if len(scores) > self.k:
+                edge = np.maximum(edge, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+            point, query = np.nonzero(scores >= edge)
+            if len(point):
+                self._merge(query, ids[part][point], scores[point, query])
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        self.q, self.ids, self.scores = _first(np.concatenate([self.q, q]), ids, np.concatenate([self.scores, scores]), self.k)
+        last = np.flatnonzero(np.concatenate((self.q[1:] != self.q[:-1], [True])))
+        full = last[np.bincount(self.q, minlength=len(self.queries))[self.q[last]] >= self.k]
+        self.edge[self.q[full]] = self.scores[full]
+
+
+TILE_SCORES = 1 << 20
 
 
 def _block_top_k(
-    points: DataFrame, block: list, query_type: T.DataType, k: int, id_col: str, dim: int
-) -> DataFrame:
+    points: DataFrame, block: list, query_type: T.DataType, k: int, id_col: str, dim: int, tile_scores: int
+) -> tuple[DataFrame, Broadcast]:
     matrix = np.array([row["vector"] for row in block], dtype="float64")
     sizes = np.linalg.norm(matrix, axis=1)
     unit = matrix / np.where(sizes > 0, sizes, np.nan)[:, None]
-    shared = points.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], unit))
+    shared = points.sparkSession.sparkContext.broadcast(unit)
     id_type = points.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -75,35 +118,15 @@ def _block_top_k(
     )
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        best: list = [None] * len(query_ids)
-        out_schema = None
+        found, kind = _Nearest(shared.value, k, tile_scores), None
         for batch in batches:
-            id_array = batch.column(0)
+            kind = batch.column(0).type
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             rows = np.asarray(flat, dtype="float64").reshape(-1, dim)
-            lengths = np.linalg.norm(rows, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (rows @ queries.T) / lengths[:, None]
-            scores = np.where(np.isnan(scores), -np.inf, scores)
-            ids = id_array.to_numpy(zero_copy_only=False)
-            out_schema = pa.schema(
-                [("q", pa.int64()), ("id", id_array.type), ("score", pa.float64())]
-            )
-            for q in range(len(query_ids)):
-                cand, val = ids, scores[:, q]
-                if best[q] is not None:
-                    cand = np.concatenate([best[q][0], cand])
-                    val = np.concatenate([best[q][1], val])
-                best[q] = _best(cand, val, k)
-        if out_schema is None:
-            return
-        for q, found in enumerate(best):
-            columns = [np.full(len(found[0]), q), found[0], found[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, out_schema)],
-                schema=out_schema,
-            )
+            found.add(batch.column(0).to_numpy(zero_copy_only=False), rows)
+        if found.ids is not None:
+            columns = [pa.array(found.q, pa.int64()), pa.array(found.ids, kind), pa.array(found.scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "id", "score"])
 
     ship_package(points.sparkSession)
     local = points.select(F.col(id_col).alias("id"), "vector").mapInArrow(nearest, schema)
@@ -111,7 +134,7 @@ def _block_top_k(
     names = points.sparkSession.createDataFrame(
         [(i, row["query_id"]) for i, row in enumerate(block)], T.StructType(fields)
     )
-    return local.join(F.broadcast(names), "q").drop("q")
+    return local.join(F.broadcast(names), "q").drop("q"), shared
 
 
 def top_k_batch(
@@ -120,13 +143,15 @@ def top_k_batch(
     k: int = K.TOP_K,
     id_col: str = "id",
     block_bytes: int = QUERY_BLOCK_BYTES,
+    tile_scores: int = TILE_SCORES,
 ) -> DataFrame:
     """The ``k`` nearest points of every query ``(query_id, vector)``, exactly.
 
     Queries are taken in blocks of a checked size. A block is broadcast and each task
-    multiplies its points with it batch by batch and keeps k candidates per query, so
-    what is shuffled is tasks x queries x k short rows, whatever the number of points.
-    More queries than one block holds mean further passes, not a bigger broadcast.
+    multiplies its points with it, ``tile_scores`` products at a time, and keeps k
+    candidates per query, so what is shuffled is tasks x queries x k short rows, whatever
+    the number of points. More queries than one block holds mean further passes, not a
+    bigger broadcast; each pass is written and its broadcast given back.
     A query that is null or shorter than the longest one has no hits, as a point of
     another length is no hit.
     """
@@ -151,7 +176,11 @@ def top_k_batch(
         if len(rows) > 4 * per_block:
             raise ValueError("query ids are not unique")
         if rows:
-            found.append(_block_top_k(usable, rows, query_type, k, id_col, dim))
+            local, shared = _block_top_k(usable, rows, query_type, k, id_col, dim, tile_scores)
+            if n_blocks > 1:
+                local = stage(local, run_folder(points.sparkSession, "nearest"))
+                shared.destroy()
+            found.append(local)
     candidates = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -513,6 +513,10 @@ add(
     f"ORDER BY {COSINE} DESC, id LIMIT 8",
     _means(""),
 )
+_PAIR = (
+    "(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * "
+    "sqrt(list_dot_product(b.v, b.v)), 0))"
+)
 HITS = (
     f"hits AS (SELECT query_id, id, {COSINE} AS s, CAST(row_number() OVER (PARTITION BY query_id "
     f"ORDER BY {COSINE} DESC, id) AS INTEGER) AS rank FROM (SELECT vec_id AS id, "
@@ -521,6 +525,31 @@ HITS = (
 )
 add("vector_topk_batch",
     "SELECT query_id, rank, id, round(s, 6) AS score FROM hits", _means("label"), HITS)
+_VECTORS = "vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+add(
+    "vector_topk_all",
+    f"SELECT a.id AS query_id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR} DESC, b.id) "
+    f"AS INTEGER) AS rank, b.id AS id, round({_PAIR}, 6) AS score FROM vecs a CROSS JOIN vecs b "
+    "QUALIFY rank <= 8",
+    _VECTORS,
+)
+# planes as signs by a rule, buckets by the sides, the 32 cheapest buckets of 8 tables
+_SIGN = "CASE WHEN strpos('0123456789abcdef', substr(md5(t || ':' || b || ':' || d), 2, 1)) % 2 = 0 THEN 1.0 ELSE -1.0 END"
+add(
+    "vector_topk_approx",
+    f"SELECT qid AS query_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_PAIR} DESC, b.id) "
+    f"AS INTEGER) AS rank, b.id AS id, round({_PAIR}, 6) AS score FROM met JOIN vecs a ON a.id = qid "
+    "JOIN vecs b ON b.id = met.id QUALIFY rank <= 8",
+    _VECTORS,
+    f"planes AS (SELECT t, b, list({_SIGN} ORDER BY d) AS w FROM range(8) x(t), range(8) y(b), range(64) z(d) GROUP BY t, b)",
+    "sides AS (SELECT id, t, b, list_dot_product(v, CAST(w AS DOUBLE[])) AS s FROM vecs CROSS JOIN planes)",
+    "buckets AS (SELECT id, t, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END) AS bucket FROM sides GROUP BY id, t)",
+    "costs AS (SELECT id, t, m, sum(CASE WHEN (m >> b) & 1 = 1 THEN abs(s) ELSE 0 END) AS c "
+    "FROM sides CROSS JOIN range(256) r(m) WHERE id % 20 = 0 GROUP BY id, t, m)",
+    "probes AS (SELECT id AS qid, t, m FROM costs QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY c, m) <= 32)",
+    "met AS (SELECT DISTINCT qid, p.id FROM probes JOIN buckets o ON o.id = qid AND o.t = probes.t "
+    "JOIN buckets p ON p.t = probes.t AND p.bucket = xor(CAST(o.bucket AS BIGINT), m))",
+)
 add(
     "prompt_context",
     "SELECT query_id, string_agg('[file: ' || source || '#0]' || chr(10) || left(text, 1500), "

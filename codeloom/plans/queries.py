@@ -12,6 +12,7 @@ from codeloom import schemas
 from codeloom.functions import paths, text
 from codeloom.functions.confidence import adjust_confidence
 from codeloom.operators import (
+    approximate,
     cache,
     chunking,
     inference,
@@ -566,6 +567,25 @@ def vector_topk_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+@query
+def vector_topk_all(spark, sf_dir):
+    """All vectors as queries."""
+    points = _points(spark, sf_dir)
+    hits = search.top_k_batch(points, points.select(F.col("id").alias("query_id"), "vector"))
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk_approx(spark, sf_dir):
+    """Every twentieth vector as a query against an index of all."""
+    points = _points(spark, sf_dir)
+    dim = points.select(F.max(F.size("vector"))).first()[0]
+    index = approximate.build_index(points, run_folder(spark, "index"), dim)
+    queries = points.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector")
+    hits = approximate.search_index(queries, index)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query
 def prompt_context(spark, sf_dir):
     points = _points(spark, sf_dir)
