@@ -1,6 +1,8 @@
 """Cache tables keyed by content hash: lookup, misses and merge.
 
-``model`` is part of every key, so results of one model never answer for another.
+``model`` is part of every key, so results of one model never answer for another. Tables
+of ``sources.caches`` hold checked and unique entries of one model; ``valid_vectors`` and
+``valid_summaries`` make such entries of any frame.
 """
 
 from __future__ import annotations
@@ -8,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import HOT_ROWS, skew_join
+from codeloom.operators.skew import HOT_ROWS, keep_listed, skew_join
+from codeloom.session import run_folder, stage
 
 
 def valid_vectors(cache: DataFrame, model: str, dim: int | None = None) -> DataFrame:
@@ -38,8 +41,15 @@ def lookup(
 
 
 def misses(df: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per hash the cache does not hold."""
-    return distinct_requests(df).join(entries.select("sha"), "sha", "left_anti")
+    """One row per hash the cache does not hold.
+
+    Hashes are compared first, without the texts; a text that is a hit never moves. Rows
+    without a hash ask for nothing.
+    """
+    wanted = df.where(F.col("sha").isNotNull()).select("sha").distinct()
+    missing = wanted.join(entries.select("sha"), "sha", "left_anti")
+    listed = stage(missing, run_folder(df.sparkSession, "missing"))
+    return distinct_requests(keep_listed(df, listed, ["sha"]))
 
 
 def merge(hits: DataFrame, fresh: DataFrame) -> DataFrame:

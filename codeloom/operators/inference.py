@@ -21,6 +21,7 @@ from codeloom import constants as K
 from codeloom.functions import text
 from codeloom.operators import cache
 from codeloom.session import ship_package, stage
+from codeloom.sources.caches import CacheTable
 
 Embedder = Callable[[list[str]], list[Sequence[float]]]
 Describer = Callable[[list[dict]], str]
@@ -124,20 +125,27 @@ class Inferred:
 
 def embed_cached(
     requests: DataFrame,
-    embed_cache: DataFrame,
+    embed_cache: DataFrame | CacheTable,
     make_embedder: Callable[[], Embedder],
     model: str,
     folder: str,
     dim: int | None = None,
     **options,
 ) -> Inferred:
-    """Vectors for all ``(sha, text)``, calling the model once per hash not cached."""
-    known = cache.valid_vectors(embed_cache, model, dim)
+    """Vectors for all ``(sha, text)``, calling the model once per hash not cached.
+
+    ``embed_cache`` is a cache table, to which the fresh vectors are added and whose entries
+    then answer for all, or a frame of entries ``(model, sha, vector)``.
+    """
+    stored = isinstance(embed_cache, CacheTable)
+    known = embed_cache.entries() if stored else cache.valid_vectors(embed_cache, model, dim)
     wanted = cache.misses(requests.select("sha", "text"), known)
     answers = stage(embed(wanted, make_embedder, **options), f"{folder}/embedded")
     fresh = answers.where(F.col("error").isNull()).select("sha", "vector")
+    if stored:
+        embed_cache.add(fresh)
     return Inferred(
-        entries=cache.merge(known, fresh),
+        entries=embed_cache.entries() if stored else cache.merge(known, fresh),
         fresh=fresh.select(F.lit(model).alias("model"), "sha", "vector"),
         rejects=answers.where(F.col("error").isNotNull()).select("sha", "error"),
     )
@@ -225,21 +233,30 @@ def describe(
 
 def describe_cached(
     functions: DataFrame,
-    summary_cache: DataFrame,
+    summary_cache: DataFrame | CacheTable,
     model: str,
     folder: str | None = None,
     make_describer: Callable[[], Describer] | None = None,
     **options,
 ) -> Inferred:
-    """Summaries for all functions ``(sha, signature, body_short)`` by content hash."""
-    known = cache.valid_summaries(summary_cache, model)
+    """Summaries for all functions ``(sha, signature, body_short)`` by content hash.
+
+    Answers without an error are added where ``summary_cache`` is a cache table.
+    """
+    stored = isinstance(summary_cache, CacheTable)
+    known = summary_cache.entries() if stored else cache.valid_summaries(summary_cache, model)
     requests = functions.select("sha", "signature", F.col("body_short").alias("body"))
     answers = describe(cache.misses(requests, known), make_describer, **options)
-    if make_describer is not None:
+    if make_describer is not None or stored:
         answers = stage(answers, f"{folder}/described")
     worked = answers.where(F.col("error").isNull())
+    entries = cache.merge(known, answers.select("sha", "summary"))
+    if stored:
+        summary_cache.add(worked.select("sha", "summary"))
+        # what is not stored is told from the answers
+        entries = cache.merge(summary_cache.entries(), answers.where(F.col("error").isNotNull()).select("sha", "summary"))
     return Inferred(
-        entries=cache.merge(known, answers.select("sha", "summary")),
+        entries=entries,
         fresh=worked.select(F.lit(model).alias("model"), "sha", "summary"),
         rejects=answers.where(F.col("error").isNotNull()).select("sha", "error"),
     )

@@ -17,6 +17,7 @@ from codeloom.operators.functions import explode_top_functions, profile_modules
 from codeloom.operators.ranking import cap_files
 from codeloom.session import stage
 from codeloom.sources import tables
+from codeloom.sources.caches import CacheTable, open_cache
 from codeloom.sources.corpus import scan_files
 from codeloom.sources.reports import write_groups, write_reports
 
@@ -35,7 +36,7 @@ class Analysis:
 
 
 def describe_modules(
-    modules: DataFrame, summary_cache: DataFrame, model: str, folder: str, make_describer=None
+    modules: DataFrame, summary_cache: DataFrame | CacheTable, model: str, folder: str, make_describer=None
 ) -> tuple[DataFrame, inference.Inferred]:
     """Replace the bodies of all top functions by their descriptions.
 
@@ -103,14 +104,13 @@ def analyse(
     docs = cap_files(scan_files(files), max_files)
 
     profiled = stage(profile_modules(docs), f"{folder}/profiled")
-    summaries = tables.read_cache(spark, f"{caches}/summaries", schemas.SUMMARY_CACHE)
+    summaries = open_cache(spark, caches, chat_model, "summary")
     described, told = describe_modules(profiled, summaries, chat_model, folder, make_describer)
     modules = stage(described, f"{folder}/modules")
-    tables.append_cache(told.fresh, f"{caches}/summaries")
 
     chunks = stage(chunk_files(docs), f"{folder}/chunks")
     requests = chunks.select(F.col("chunk_sha").alias("sha"), "text")
-    held = tables.read_cache(spark, f"{caches}/vectors", schemas.EMBED_CACHE)
+    held = open_cache(spark, caches, embed_model, "vector", dim)
     embedded = inference.embed_cached(
         requests, held, make_embedder, embed_model, folder, dim
     )
@@ -118,7 +118,6 @@ def analyse(
         spark, f"{folder}/points", tables.make_points(chunks, embedded.entries), dim,
         landed=files,
     )
-    tables.append_cache(embedded.fresh, f"{caches}/vectors")
 
     contexts = report.prompt_contexts(retrieve(points, make_embedder, folder))
     prompts = report.build_prompts(report.prompt_evidence(modules), contexts)

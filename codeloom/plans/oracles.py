@@ -422,6 +422,12 @@ add(
     "FROM documents",
     CACHED,
 )
+add(
+    "cache_table",
+    "SELECT doc_id, sha, sha IN (SELECT sha FROM cached) AS hit, sha NOT IN (SELECT sha FROM cached) "
+    "AS missed FROM (SELECT doc_id, sha256(text) AS sha FROM documents)",
+    CACHED,
+)
 MISSED = (
     "SELECT DISTINCT sha256(text) AS sha, CAST(length(text) AS INTEGER) AS n_chars "
     "FROM documents WHERE sha256(text) NOT IN (SELECT sha FROM cached)"

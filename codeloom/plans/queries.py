@@ -29,6 +29,7 @@ from codeloom.session import run_folder, spread, stage
 from codeloom.sources import corpus as scan
 from codeloom.sources import reports as report_io
 from codeloom.sources import tables
+from codeloom.sources.caches import open_cache
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -425,6 +426,23 @@ def cache_miss(spark, sf_dir):
     return missed.select("sha", F.length("text").alias("n_chars"))
 
 
+@query
+def cache_table(spark, sf_dir):
+    """A bucketed cache, filled in two overlapping runs, asked for every document."""
+    held = _vector_cache(spark, sf_dir)
+    table = open_cache(spark, run_folder(spark, "cache"), "m", "vector", 64)
+    even = F.crc32("sha") % 2 == 0
+    table.add(held.where(even))
+    table.add(held)
+    docs = _hashed_docs(spark, sf_dir).select("doc_id", "sha")
+    missed = cache.misses(docs.select("sha"), table.entries()).withColumn("missed", F.lit(True))
+    found = cache.lookup(docs, table.entries(), ["doc_id"]).join(missed, "sha", "left")
+    return found.select(
+        "doc_id", "sha", F.col("vector").isNotNull().alias("hit"),
+        F.coalesce("missed", F.lit(False)).alias("missed"),
+    )
+
+
 @query
 def cache_merge(spark, sf_dir):
     known = cache.valid_vectors(_vector_cache(spark, sf_dir), "m", 64)

@@ -1,4 +1,4 @@
-"""Written tables: points by repository and caches on any shared file system."""
+"""Written tables of points by repository on any shared file system."""
 
 from __future__ import annotations
 
@@ -16,18 +16,6 @@ def _exists(spark: SparkSession, base: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def append_cache(entries: DataFrame, base: str) -> None:
-    """Add new cache entries; the job's commit makes them visible together."""
-    entries.write.mode("append").partitionBy("model").parquet(base)
-
-
-def read_cache(spark: SparkSession, base: str, schema) -> DataFrame:
-    """A cache table, empty before its first entry."""
-    if not _exists(spark, base):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(base)
-
-
 def point_id() -> Column:
     """Id from the content's place, so that a repeated run replaces and never doubles."""
     parts = F.concat_ws("\0", "repo", "path", F.col("chunk_index").cast("string"))
@@ -54,7 +42,9 @@ def check_dimension(points: DataFrame, dim: int) -> DataFrame:
 
 def read_points(spark: SparkSession, base: str) -> DataFrame:
     """The points table, empty before its first points."""
-    return read_cache(spark, base, schemas.POINTS).where(F.col("id").isNotNull())
+    if not _exists(spark, base):
+        return spark.createDataFrame([], schemas.POINTS)
+    return spark.read.schema(schemas.POINTS).parquet(base).where(F.col("id").isNotNull())
 
 
 def replace_files(target: DataFrame, new: DataFrame, landed: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from codeloom.operators.functions import profile_modules
 from codeloom.operators.ranking import single_files
 from codeloom.session import stage
 from codeloom.sources import tables
+from codeloom.sources.caches import open_cache
 from codeloom.sources.corpus import scan_files
 
 
@@ -50,14 +51,13 @@ def index_batch(
     latest = single_files(files, "landed" if "landed" in files.columns else None)
     kept = latest.select("repo", "path", "content")
     chunks = stage(chunk_files(scan_files(kept)), f"{run}/chunks")
-    held = tables.read_cache(files.sparkSession, f"{folder}/vectors", schemas.EMBED_CACHE)
+    held = open_cache(files.sparkSession, f"{folder}/caches", model, "vector", dim)
     requests = chunks.select(F.col("chunk_sha").alias("sha"), "text")
     found = inference.embed_cached(requests, held, make_embedder, model, run, dim)
     points = tables.upsert_points(
         files.sparkSession, f"{folder}/points", tables.make_points(chunks, found.entries), dim,
         landed=files,
     )
-    tables.append_cache(found.fresh, f"{folder}/vectors")
     return points
 
 
