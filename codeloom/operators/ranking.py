@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.operators.numbering import numbered
 from codeloom.operators.skew import broadcast_few, keep_listed
 from codeloom.session import run_folder, stage
 
@@ -21,6 +22,12 @@ def priority_order(df: DataFrame) -> DataFrame:
     return with_role(df).orderBy("repo", "role_rank", F.lower("path"), "path")
 
 
+def priority_positions(df: DataFrame, name: str = "n") -> DataFrame:
+    """The place of every row in that order, over all repositories."""
+    ranked = with_role(df).withColumn("_lower", F.lower("path"))
+    return numbered(ranked, [], ["repo", "role_rank", "_lower", "path"], name).drop("_lower")
+
+
 def _first_per_repo(df: DataFrame, order: list, n: int, rank: str) -> DataFrame:
     window = Window.partitionBy("repo").orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)

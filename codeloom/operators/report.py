@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from codeloom import constants as K
 from codeloom.functions import paths, text
+from codeloom.operators.numbering import numbered
 from codeloom.operators.ranking import priority_limit, with_role
 from codeloom.operators.replies import parse_strict
-from codeloom.operators.skew import skew_join
 from codeloom.schemas import PROJECT_KNOWLEDGE_FIELDS, REPORT, REPORT_FIELDS
 
-PAGE_MODULES = 1000
-
 
 def language_profile(docs: DataFrame) -> DataFrame:
     """Files, characters and lines per language."""
@@ -44,34 +43,18 @@ def role_counts(modules: DataFrame) -> DataFrame:
     )
 
 
-def modules_by_role(modules: DataFrame, page_modules: int = PAGE_MODULES) -> DataFrame:
-    """Modules grouped by repository and role, empty roles included.
+def modules_by_role(modules: DataFrame) -> DataFrame:
+    """One row per module with its ``position`` in the group of its repository and role.
 
-    A group of up to ``page_modules`` is one row. A larger one is dealt over pages of
-    about that size by path hash, so no row and no task ever holds a whole big group.
+    Positions follow the lower-cased path, then the path. An empty role of a repository is
+    one row with a null position. A group of any size is spread over tasks.
     """
-    counts = role_counts(modules)
-    n_pages = F.greatest(F.ceil(F.col("n_modules") / page_modules), F.lit(1)).cast("int")
-    sized = counts.withColumn("pages", n_pages)
-    roled = with_role(modules).drop("role_rank")
-    members = skew_join(roled, sized, ["repo", "role"], "inner", ["path"])
-    page = F.pmod(F.xxhash64("path"), F.col("pages")).cast("int")
-    entry = F.struct(F.lower("path").alias("_order"), *[c for c in modules.columns if c != "repo"])
-    full = members.groupBy("repo", "role_rank", "role", page.alias("page")).agg(
-        F.sort_array(F.collect_list(entry)).alias("modules")
-    )
-    empty = sized.where(F.col("n_modules") == 0).select(
-        "repo", "role_rank", "role", F.lit(0).alias("page"),
-        F.slice(F.array(_typed_null(full, "modules")), 1, 0).alias("modules"),
-    )
-    merged = full.unionByName(empty)
-    return merged.withColumn(
-        "modules", F.transform("modules", lambda m: m.dropFields("_order"))
-    )
-
-
-def _typed_null(df: DataFrame, column: str) -> Column:
-    return F.lit(None).cast(df.schema[column].dataType.elementType)
+    rest = [c for c in modules.columns if c != "repo"]
+    roled = with_role(modules).withColumn("_order", F.lower("path"))
+    placed = numbered(roled, ["repo", "role_rank", "role"], ["_order", "path"])
+    members = placed.select("repo", "role_rank", "role", "position", *rest)
+    empty = role_counts(modules).where("n_modules = 0").select("repo", "role_rank", "role")
+    return members.unionByName(empty, allowMissingColumns=True)
 
 
 def corpus_totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -166,11 +149,22 @@ def report_modules(modules: DataFrame, n: int = K.REPORT_MODULES) -> DataFrame:
     return priority_limit(modules, n)
 
 
+def grouped_modules(modules: Column) -> Column:
+    """Names and paths of an array of modules by role, all six roles included."""
+    def members(role: str) -> Column:
+        own = F.filter(modules, lambda m: paths.role(F.coalesce(m["path"], F.lit(""))) == role)
+        return F.transform(own, lambda m: F.struct(m["module_name"].alias("module_name"), m["path"].alias("path")))
+
+    names = F.array(*[F.lit(r) for r in K.ROLES])
+    return F.map_from_arrays(names, F.array(*[members(r) for r in K.ROLES]))
+
+
 def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """One offline report per repository: languages, role sizes and first modules.
+    """One offline report per repository, in the report form, and its ``repository``.
 
-    All modules by role are a table of their own (``modules_by_role``), because they
-    grow with the repository while a report row must not.
+    ``grouped_modules`` tells the first modules by role and ``role_counts`` how many there
+    are in all. All modules by role are a table of their own (``modules_by_role``), because
+    they grow with the repository while a report row must not.
     """
     columns = [c for c in modules.columns if c != "repo"]
     first = report_modules(modules).groupBy("repo").agg(
@@ -178,7 +172,7 @@ def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataF
     )
     sizes = role_counts(modules).groupBy("repo").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n_modules")))).alias(
-            "grouped_modules"
+            "role_counts"
         )
     )
     joined = primary_languages(modules).join(sizes, "repo").join(first, "repo")
@@ -187,17 +181,18 @@ def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataF
         joined, url = joined.join(urls, "repo", "left"), F.col("url")
     unknown, none = F.lit("unknown"), F.array().cast("array<string>")
     return joined.select(
-        "repo",
+        F.col("repo").alias("repository"),
         F.col("repo").alias("project_name"),
         F.struct(
             url.alias("url"), unknown.alias("branch"), unknown.alias("commit")
-        ).alias("source"),
+        ).alias("repo"),
         F.lit("DRY_RUN").alias("project_overview"),
         "primary_languages",
         F.lit("").alias("architecture_summary"),
         none.alias("dependencies"),
         F.transform("key_modules", lambda m: m.dropFields("priority")).alias("key_modules"),
-        "grouped_modules",
+        grouped_modules(F.col("key_modules")).alias("grouped_modules"),
+        "role_counts",
         F.struct(
             F.lit(False).alias("has_tests"), none.alias("test_paths"),
             F.lit(False).alias("ci_present"),
@@ -212,58 +207,75 @@ def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataF
 
 
 def with_report_defaults(reports: DataFrame) -> DataFrame:
-    """Fill ``generated_at`` and ``key_modules`` of parsed model reports."""
+    """Fill ``generated_at``, ``key_modules`` and ``grouped_modules`` of parsed model reports."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     no_modules = F.array().cast(reports.schema["key_modules"].dataType)
-    return reports.withColumn("generated_at", F.coalesce("generated_at", now)).withColumn(
+    listed = reports.withColumn("generated_at", F.coalesce("generated_at", now)).withColumn(
         "key_modules", F.coalesce("key_modules", no_modules)
     )
+    placed = F.transform(
+        "key_modules",
+        lambda m: F.struct(m["module_name"].alias("module_name"), F.coalesce(m["path"], F.get(m["paths"], F.lit(0))).alias("path")),
+    )
+    return listed.withColumn("grouped_modules", F.coalesce("grouped_modules", grouped_modules(placed)))
 
 
 # --- conformance ---------------------------------------------------------------------
 
-def _missing(prefix: str, owner: Column, names: tuple[str, ...]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(owner[n].isNull(), F.lit(prefix + n)) for n in names])
-    )
+#: Fields that a document of each kind may leave out.
+OPTIONAL = {
+    "lead": {"key_modules[].path"},
+    "simple": {
+        "global_complexity_notes", "assumptions", "key_modules[].description",
+        "key_modules[].key_methods[].description", "key_modules[].key_methods[].complexity_notes",
+    },
+}
 
 
-def _missing_simple(doc: Column) -> Column:
-    """Fields a simple project document requires, nested ones with an array path."""
-    in_modules = F.flatten(
-        F.transform(
-            F.coalesce(doc["key_modules"], F.array()),
-            lambda m: F.concat(
-                _missing("key_modules[].", m, ("module_name", "path", "key_methods")),
-                F.flatten(
-                    F.transform(
-                        F.coalesce(m["key_methods"], F.array()),
-                        lambda k: _missing(
-                            "key_modules[].key_methods[].", k, ("name", "signature")
-                        ),
-                    )
-                ),
-            ),
-        )
-    )
-    top = ("project_name", "project_overview", "primary_languages", "key_modules", "generated_at")
-    return F.concat(_missing("", doc, top), in_modules)
+def absences(owner: Column, kind: StructType, optional: set[str], prefix: str = "") -> Column:
+    """Paths of all fields of a schema that ``owner`` lacks, in schema order.
+
+    Fields of an absent object are not listed beside it. A member of an array is ``[]``,
+    and each member counts.
+    """
+    found = []
+    for field in kind.fields:
+        name = prefix + field.name
+        value = owner[field.name]
+        none = F.array().cast("array<string>")
+        missing = none if name in optional else F.array(F.lit(name))
+        inner = none
+        if isinstance(field.dataType, StructType):
+            inner = absences(value, field.dataType, optional, f"{name}.")
+        elif isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
+            element, gone = field.dataType.elementType, F.array(F.lit(f"{name}[]"))
+            inner = F.flatten(F.transform(
+                value,
+                lambda x: F.when(x.isNull(), gone).otherwise(absences(x, element, optional, f"{name}[]."))
+            ))
+        found.append(F.when(value.isNull(), missing).otherwise(inner))
+    return F.concat(*found)
 
 
 def report_conformance(documents: DataFrame, kind: str = "lead", raw: str = "raw") -> DataFrame:
     """Schema violations: one row per document, field and number of absences.
 
-    ``kind`` is ``lead`` for the full report or ``simple`` for the small document. Text
-    that is no JSON object gives the field ``$``; a value of a wrong type counts as absent.
+    ``kind`` is ``lead`` for the full report or ``simple`` for the small document. Nested
+    fields are named by their path (``key_modules[].lines.start``). Text that is no JSON object
+    gives the field ``$``; a value of a wrong type counts as absent.
     """
     fields = {"lead": REPORT_FIELDS, "simple": PROJECT_KNOWLEDGE_FIELDS}[kind]
     schema = ",".join(f"{name}:{type_}" for name, type_ in fields.items())
     parsed = documents.withColumn("doc", parse_strict(text.strip(F.col(raw)), f"struct<{schema}>"))
-    if kind == "lead":
-        missing = _missing("", F.col("doc"), tuple(REPORT_FIELDS))
-    else:
-        missing = _missing_simple(F.col("doc"))
+    missing = absences(F.col("doc"), parsed.schema["doc"].dataType, OPTIONAL[kind])
     fields = F.when(F.col("doc").isNull(), F.array(F.lit("$"))).otherwise(missing)
     keys = [c for c in documents.columns if c != raw]
     rows = parsed.select(*keys, F.explode(fields).alias("field"))
     return rows.groupBy(*keys, "field").agg(F.count(F.lit(1)).cast("int").alias("absent"))
+
+
+def conformance_rejects(documents: DataFrame, kind: str = "lead", raw: str = "raw") -> DataFrame:
+    """The documents that are no JSON object at all, with their text."""
+    fields = {"lead": REPORT_FIELDS, "simple": PROJECT_KNOWLEDGE_FIELDS}[kind]
+    schema = ",".join(f"{name}:{type_}" for name, type_ in fields.items())
+    return documents.where(parse_strict(text.strip(F.col(raw)), f"struct<{schema}>").isNull())

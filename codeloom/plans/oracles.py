@@ -330,7 +330,9 @@ GRID = (
 )
 add(
     "modules_by_role",
-    "SELECT g.repo AS repo, role_rank, role, language || ':' || path AS module FROM grid g "
+    "SELECT g.repo AS repo, role_rank, role, language || ':' || path AS module, "
+    "CASE WHEN path IS NOT NULL THEN row_number() OVER (PARTITION BY g.repo, role "
+    "ORDER BY lower(path), path) END AS position FROM grid g "
     f"LEFT JOIN modules m ON m.repo = g.repo AND {role_of('m.path')} = g.role",
     *MODS, GRID,
 )
@@ -341,7 +343,8 @@ add(
     *MODS, GRID,
 )
 add("priority_order",
-    f"SELECT repo, {rank_of('path')} AS role_rank, {role_of('path')} AS role, path FROM corpus",
+    f"SELECT repo, {rank_of('path')} AS role_rank, {role_of('path')} AS role, path, row_number() "
+    f"OVER (ORDER BY repo, {rank_of('path')}, lower(path), path) AS n FROM corpus",
     CORPUS)
 PRIORITY = (
     "CAST(row_number() OVER (PARTITION BY repo ORDER BY "
@@ -583,7 +586,8 @@ add(
     "SELECT m.repo AS repo, m.repo AS project_name, 'DRY_RUN' AS project_overview, languages, "
     "string_agg(path, ',' ORDER BY n) FILTER (WHERE n <= 20) AS key_modules, "
     "count(*) FILTER (WHERE role = 'controllers') AS controllers, "
-    "count(*) FILTER (WHERE role = 'other') AS other, false AS has_tests, "
+    "count(*) FILTER (WHERE role = 'other') AS other, CAST(count(*) FILTER (WHERE role = 'other' "
+    "AND n <= 20) AS INTEGER) AS listed_other, 'unknown' AS branch, 0 AS dependencies, false AS has_tests, "
     "'dry-run' AS assumption FROM (SELECT *, "
     f"{role_of('path')} AS role, row_number() OVER (PARTITION BY repo ORDER BY "
     f"{rank_of('path')}, lower(path), path) AS n FROM modules) m "
@@ -591,6 +595,17 @@ add(
     *MODS,
 )
 
+add(
+    "report_round_trip",
+    "SELECT repo AS repository, repo AS project_name, 'unknown' AS commit, "
+    "CAST(least(count(*), 20) AS INTEGER) AS modules, coalesce(string_agg(path, ',' ORDER BY n) "
+    "FILTER (WHERE role = 'services' AND n <= 20), '') AS services, 6 AS roles, "
+    "count(*) FILTER (WHERE role = 'other') AS other, true AS dated FROM (SELECT *, "
+    f"{role_of('path')} AS role, row_number() OVER (PARTITION BY repo ORDER BY "
+    f"{rank_of('path')}, lower(path), path) AS n FROM modules) GROUP BY repo",
+    *MODS,
+)
+
 _CLAIMS = ", ".join(f"{e} AS {c}" for c, e in CLAIM_COLUMNS.items())
 CLAIMS = (
     "claims AS (SELECT r.*, c.path AS path, CAST(row_number() OVER (PARTITION BY report_id, "
@@ -747,12 +762,20 @@ add(
         [_absent(kind, "$", _BROKEN) for kind in ("lead", "simple")]
         + [
             _absent("lead", f, _WHOLE)
-            for f in ("dependencies", "key_modules", "tests_and_ci", "global_complexity_notes",
-                      "assumptions")
+            for f in ("repo.branch", "repo.commit", "dependencies", "tests_and_ci",
+                      "global_complexity_notes", "assumptions", "key_modules[].description",
+                      "key_modules[].lines.end", "key_modules[].example_snippet",
+                      "key_modules[].complexity_notes", "key_modules[].recommendations",
+                      "key_modules[].confidence")
+        ]
+        + [
+            _absent("lead", f"key_modules[].key_methods[].{f}", _WHOLE, 2)
+            for f in ("signature", "loc", "cyclomatic_complexity", "source_ref")
         ]
         + [
             _absent("lead", f, f"{_WHOLE} AND {_GAP}")
-            for f in ("architecture_summary", "generated_at")
+            for f in ("architecture_summary", "generated_at", "key_modules[].lines.start",
+                      "key_modules[].key_methods[].name")
         ]
         + [_absent("simple", "primary_languages", _WHOLE)]
         + [

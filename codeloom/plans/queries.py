@@ -335,10 +335,9 @@ def primary_languages(spark, sf_dir):
 @query
 def modules_by_role(spark, sf_dir):
     modules = _modules(spark, sf_dir).select("repo", "path", "language")
-    pages = report.modules_by_role(modules)
-    member = F.transform("modules", lambda m: F.concat(m["language"], F.lit(":"), m["path"]))
-    rows = pages.select("repo", "role_rank", "role", F.explode_outer(member).alias("module"))
-    return rows
+    rows = report.modules_by_role(modules)
+    module = F.concat("language", F.lit(":"), "path")
+    return rows.select("repo", "role_rank", "role", "position", module.alias("module"))
 
 
 @query
@@ -348,8 +347,8 @@ def role_counts(spark, sf_dir):
 
 @query
 def priority_order(spark, sf_dir):
-    ordered = ranking.priority_order(fx.corpus(spark, sf_dir).select("repo", "path"))
-    return ordered.select("repo", "role_rank", "role", "path")
+    files = ranking.priority_positions(fx.corpus(spark, sf_dir).select("repo", "path"))
+    return ranking.priority_order(files).select("repo", "role_rank", "role", "path", "n")
 
 
 @query
@@ -630,11 +629,13 @@ def report_assemble(spark, sf_dir):
     reports = report.assemble_reports(_modules(spark, sf_dir))
     module_paths = F.transform("key_modules", lambda m: m["path"])
     return reports.select(
-        "repo", "project_name", "project_overview",
+        F.col("repository").alias("repo"), "project_name", "project_overview",
         F.array_join("primary_languages", ",").alias("languages"),
         F.array_join(module_paths, ",").alias("key_modules"),
-        F.col("grouped_modules")["controllers"].alias("controllers"),
-        F.col("grouped_modules")["other"].alias("other"),
+        F.col("role_counts")["controllers"].alias("controllers"),
+        F.col("role_counts")["other"].alias("other"),
+        F.size(F.col("grouped_modules")["other"]).alias("listed_other"),
+        F.col("repo.branch").alias("branch"), F.size("dependencies").alias("dependencies"),
         F.col("tests_and_ci.has_tests").alias("has_tests"),
         F.get("assumptions", F.lit(0)).alias("assumption"),
     )
@@ -656,13 +657,28 @@ def _named_reports(spark, sf_dir) -> DataFrame:
 @query
 def report_json(spark, sf_dir):
     folder = run_folder(spark, "report_json")
-    reports = _named_reports(spark, sf_dir).withColumn(
-        "repo", F.concat(F.lit("r"), (F.col("report_id") % 5).cast("string"))
-    )
+    repository = F.concat(F.lit("r"), (F.col("report_id") % 5).cast("string"))
+    reports = _named_reports(spark, sf_dir).drop("repo").withColumn("repository", repository)
     report_io.write_reports(reports, folder)
-    schema = schemas.ddl({**schemas.REPORT_FIELDS, "repo": "string"})
-    back = report_io.read_reports(spark, folder, multi_line=False, schema=schema)
-    return _report_totals(back).join(back.select("project_name", "repo"), "project_name")
+    back = report_io.read_reports(spark, folder, multi_line=False)
+    places = back.select("project_name", F.col("repository").alias("repo"))
+    return _report_totals(back).join(places, "project_name")
+
+
+@query
+def report_round_trip(spark, sf_dir):
+    """Assembled reports, written and read with the default schema; model reports with defaults."""
+    folder = run_folder(spark, "report_rows")
+    report_io.write_reports(report.assemble_reports(_modules(spark, sf_dir)), folder)
+    back = report_io.read_reports(spark, folder, multi_line=False)
+    told = report.with_report_defaults(back.withColumn("grouped_modules", F.lit(None).cast(schemas.GROUPED)))
+    members = F.transform(F.col("grouped_modules")["services"], lambda m: m["path"])
+    return told.select(
+        "repository", "project_name", F.col("repo.commit").alias("commit"),
+        F.size("key_modules").alias("modules"), F.array_join(members, ",").alias("services"),
+        F.size("grouped_modules").alias("roles"), F.col("role_counts")["other"].alias("other"),
+        F.col("generated_at").isNotNull().alias("dated"),
+    )
 
 
 @query
@@ -816,6 +832,14 @@ def _raw_documents(spark, sf_dir, kind: str) -> DataFrame:
             F.when(~gap, F.lit("a")).alias("architecture_summary"),
             F.when(~gap, F.lit("now")).alias("generated_at"),
             F.array(F.lit("x")).alias("recommendations"),
+            F.array(F.struct(
+                F.lit("m").alias("module_name"), F.array(F.lit("p")).alias("paths"),
+                F.struct(F.when(~gap, 1).alias("start")).alias("lines"),
+                F.array(
+                    F.struct(F.lit("f").alias("name"), F.lit(0.5).alias("confidence")),
+                    F.struct(F.when(~gap, "g").alias("name"), F.lit(1.5).alias("confidence")),
+                ).alias("key_methods"),
+            )).alias("key_modules"),
         )
     else:
         method = F.struct(F.when(~gap, key).alias("name"), F.lit("f()").alias("signature"))
@@ -851,7 +875,7 @@ def analysis_run(spark, sf_dir):
     chunks = done.chunks.groupBy("repo").agg(F.count(F.lit(1)).alias("chunks"))
     points = done.points.groupBy("repo").agg(F.countDistinct("id").alias("points"))
     shown = done.reports.select(
-        "repo", F.size("key_modules").alias("key_modules"),
+        F.col("repository").alias("repo"), F.size("key_modules").alias("key_modules"),
         F.array_join("primary_languages", ",").alias("languages"),
     )
     counts = done.modules.groupBy("repo").agg(

@@ -29,7 +29,11 @@ REPORT_FIELDS = {
     "generated_at": "string",
     "assumptions": "array<string>",
 }
-REPORT = ddl(REPORT_FIELDS)
+GROUPED = "map<string,array<struct<module_name:string,path:string>>>"
+#: Fields of our own beside those of the report form.
+REPORT = ddl({**REPORT_FIELDS, "grouped_modules": GROUPED, "role_counts": "map<string,bigint>"})
+#: As written in one folder per repository.
+STORED_REPORT = f"{REPORT}, repository string"
 
 PROJECT_KNOWLEDGE_FIELDS = {
     "project_name": "string",

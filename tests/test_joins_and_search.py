@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import schemas
-from codeloom.operators import cache, inference, ranking, replies, report, search
+from codeloom.operators import cache, inference, numbering, ranking, replies, report, search
 from codeloom.operators.skew import hot_keys, skew_join
 from codeloom.sources import tables
 
@@ -267,17 +267,30 @@ def test_priority_and_caps(spark):
     assert [r["path"] for r in ranking.scan_limit(frame, 1).collect()] == ["B/UserController.java"]
 
 
-def test_big_role_groups_are_paged(spark):
+def test_role_groups_of_any_size_have_positions(spark):
     frame = spark.range(500).select(
         F.lit("r").alias("repo"), F.format_string("x/%04d.java", "id").alias("path"),
         F.lit("java").alias("language"),
-    )
-    pages = report.modules_by_role(frame, page_modules=50).collect()
-    other = [p for p in pages if p["role"] == "other"]
-    assert len(other) == 10 and {p["role"] for p in pages} == {
-        "controllers", "services", "repositories", "entities", "security", "other"
-    }
-    found = [m["path"] for p in other for m in p["modules"]]
-    assert len(found) == len(set(found)) == 500
-    assert all(m == sorted(m) for m in ([x["path"] for x in p["modules"]] for p in other))
-    assert all(not p["modules"] for p in pages if p["role"] != "other")
+    ).repartition(5)
+    rows = report.modules_by_role(frame).collect()
+    other = sorted((r["position"], r["path"]) for r in rows if r["role"] == "other")
+    assert other == [(k + 1, f"x/{k:04d}.java") for k in range(500)]
+    empty = [r for r in rows if r["role"] != "other"]
+    assert len(empty) == 5 and all(r["position"] is None and r["path"] is None for r in empty)
+
+
+def test_numbers_over_many_tasks(spark):
+    rows = [(k % 3 if k % 7 else None, k % 50, k) for k in range(900)] + [(0, None, 1000), (5, 1, 1001)]
+    frame = spark.createDataFrame(rows, "g int, a int, b int").repartition(4)
+    for within in (["g"], []):
+        got = numbering.numbered(frame, within, ["a", "b"], "n").collect()
+        held = {}
+        for r in got:
+            held.setdefault(r["g"] if within else 0, []).append(r)
+        for members in held.values():
+            members.sort(key=lambda r: r["n"])
+            assert [r["n"] for r in members] == list(range(1, len(members) + 1))
+            keys = [(r["a"] is not None, r["a"] or 0, r["b"]) for r in members]
+            assert keys == sorted(keys)
+        assert len(got) == len(rows)
+    assert numbering.numbered(frame.limit(0), ["g"], ["a"]).isEmpty()
