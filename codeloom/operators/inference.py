@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -151,12 +152,16 @@ def embed_cached(
     )
 
 
-def _replies(raw: str) -> dict[str, dict]:
-    start, end = raw.find("["), raw.rfind("]")
-    if start < 0 or end < 0:
+_ARRAY = re.compile(r"\[.*\]", re.DOTALL)
+
+
+def _answers(raw: str) -> dict[str, dict]:
+    """Objects of the array in a reply by their hash; of several for one hash the last."""
+    held = _ARRAY.search(raw)
+    if held is None:
         raise ValueError("reply holds no JSON array")
-    objects = json.loads(raw[start : end + 1])
-    return {x["hash"]: x for x in objects if isinstance(x, dict) and isinstance(x.get("hash"), str)}
+    objects = (x for x in json.loads(held[0]) if isinstance(x, dict))
+    return {x["hash"]: x for x in objects if isinstance(x.get("hash"), str)}
 
 
 UNANSWERED = "the reply leaves the request out"
@@ -202,7 +207,7 @@ def describe(
             ]
 
             def call(describer=describer, items=items):
-                return _replies(describer(items))
+                return _answers(describer(items))
 
             found, error = with_retries(call, retries, lambda n: backoff**n)
             told = [_texts((found or {}).get(sha)) for sha in frame["sha"]]

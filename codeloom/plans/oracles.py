@@ -466,6 +466,13 @@ add(
     "FROM keyed k LEFT JOIN known n ON n.sha = k.sha",
     *FUNCS, KEYED, SUMMARIES,
 )
+add(
+    "describe_model",
+    "SELECT path, fn_index, CASE substr(sha, 1, 1) WHEN '0' THEN '<summary unavailable>' "
+    f"WHEN '1' THEN {heuristic('body')} ELSE 'says ' || replace(signature, {NL}, ' ') END AS description, "
+    "substr(sha, 1, 1) NOT IN ('0', '1') AS stored FROM keyed",
+    *FUNCS, KEYED,
+)
 add(
     "describe_functions",
     "SELECT m.path AS path, num_functions, coalesce(d, '') AS descriptions FROM modules m "
@@ -534,6 +541,14 @@ HITS = (
 )
 add("vector_topk_batch",
     "SELECT query_id, rank, id, round(s, 6) AS score FROM hits", _means("label"), HITS)
+_FIRST = "CASE WHEN label % 2 = 0 THEN 0.0 ELSE v[1] END"
+add(
+    "vector_topk_zero",
+    "SELECT id, CASE WHEN s <> 0 THEN round(s, 6) END AS score FROM (SELECT vec_id AS id, "
+    f"{_FIRST} / nullif(sqrt(list_dot_product(v, v) - CASE WHEN label % 2 = 0 THEN v[1] * v[1] ELSE 0 END), 0) "
+    "AS s FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) "
+    "ORDER BY s DESC NULLS LAST, id LIMIT 1000",
+)
 _VECTORS = "vecs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 add(
     "vector_topk_all",
@@ -734,16 +749,16 @@ add(
     "report_id ORDER BY module_pos, method_pos) <= 10 AS shown FROM checked WHERE NOT valid",
     *VALIDATED,
 )
-add(
-    "validated_report",
+VALIDATED_TOTALS = (
     "SELECT report_id, CAST(count(DISTINCT module_pos) AS INTEGER) AS modules, "
     "CAST(count(DISTINCT module_pos) FILTER (WHERE valid) AS INTEGER) AS valid_modules, "
     "CAST(count(*) FILTER (WHERE valid) AS INTEGER) AS valid_methods, "
     "CAST(coalesce(sum(complexity), 0) AS INTEGER) AS complexity, count(*) AS methods_total, "
     "CAST(count(*) FILTER (WHERE NOT valid) AS INTEGER) AS warnings "
-    "FROM checked GROUP BY report_id",
-    *VALIDATED,
+    "FROM checked GROUP BY report_id"
 )
+add("validated_report", VALIDATED_TOTALS, *VALIDATED)
+add("validated_sink", VALIDATED_TOTALS, *VALIDATED)
 _BROKEN = "o_orderpriority LIKE '1%'"
 _GAP = "o_orderstatus = 'O'"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -480,6 +481,37 @@ def summarize_methods(spark, sf_dir):
     return put.select("path", "fn_index", "description")
 
 
+def _odd_describer():
+    """A model that leaves some methods out, repeats some and tells no text of others."""
+
+    def describe(items: list[dict]) -> str:
+        told = []
+        for item in items:
+            digit = item["hash"][0]
+            if digit == "2":
+                told.append({"hash": item["hash"], "summary": "an earlier try"})
+            if digit != "0":
+                said = 7 if digit == "1" else f" says\n{item['signature']} "
+                told.append({"hash": item["hash"], "summary": said})
+        return f"Sure! {json.dumps(told)} Anything else?"
+
+    return describe
+
+
+@query
+def describe_model(spark, sf_dir):
+    """All methods described by a model whose answers have gaps."""
+    hashed = _hashed_functions(spark, sf_dir)
+    folder = run_folder(spark, "described")
+    held = open_cache(spark, f"{folder}/cache", "odd", "summary")
+    found = inference.describe_cached(hashed, held, "odd", folder, _odd_describer)
+    put = inference.put_back(hashed.select("repo", "path", "fn_index", "sha"), found.entries)
+    stored = held.entries().select("sha", F.lit(True).alias("stored"))
+    return put.join(stored, "sha", "left").select(
+        "path", "fn_index", "description", F.coalesce("stored", F.lit(False)).alias("stored")
+    )
+
+
 @query
 def describe_functions(spark, sf_dir):
     modules = stage(_modules(spark, sf_dir), run_folder(spark, "modules"))
@@ -584,6 +616,17 @@ def vector_topk_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+@query
+def vector_topk_zero(spark, sf_dir):
+    """Scores of zero told as null: half of the points lie across the query."""
+    points = _points(spark, sf_dir)
+    flat = F.transform("vector", lambda x, i: F.when(i > 0, x).otherwise(F.lit(0.0).cast("float")))
+    across = points.withColumn("vector", F.when(F.col("label") % 2 == 0, flat).otherwise(F.col("vector")))
+    dim = points.select(F.max(F.size("vector"))).first()[0]
+    hits = search.top_k(across, [1.0] + [0.0] * (dim - 1), 1000, zero_as_null=True)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
 @query
 def vector_topk_all(spark, sf_dir):
     """All vectors as queries."""
@@ -799,10 +842,7 @@ def validation_warnings(spark, sf_dir):
     )
 
 
-@query
-def validated_report(spark, sf_dir):
-    reports = _reports(spark, sf_dir)
-    out = validation.validated_reports(reports, *_validated(spark, sf_dir))
+def _validated_totals(out: DataFrame) -> DataFrame:
     methods = F.flatten(F.transform("key_modules", lambda m: m["key_methods"]))
     return out.select(
         "report_id", F.size("key_modules").alias("modules"),
@@ -817,6 +857,21 @@ def validated_report(spark, sf_dir):
     )
 
 
+@query
+def validated_report(spark, sf_dir):
+    reports = _reports(spark, sf_dir)
+    return _validated_totals(validation.validated_reports(reports, *_validated(spark, sf_dir)))
+
+
+@query
+def validated_sink(spark, sf_dir):
+    """Validated reports written as JSON and read again."""
+    out = validation.validated_reports(_reports(spark, sf_dir), *_validated(spark, sf_dir))
+    folder = run_folder(spark, "validated_json")
+    report_io.write_validated(out, folder)
+    return _validated_totals(spark.read.schema(out.schema).json(folder))
+
+
 def _raw_documents(spark, sf_dir, kind: str) -> DataFrame:
     """Model documents made of orders: whole ones, ones with gaps and broken ones."""
     orders = spread(
