@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from codeloom import constants as K
 from codeloom.functions import arrays, paths, text
+from codeloom.operators.ranking import priority_limit
+from codeloom.operators.skew import keep_listed
 
 
 def _pattern(language: Column) -> Column:
@@ -231,6 +233,15 @@ def profile_modules(docs: DataFrame) -> DataFrame:
     )
 
 
+def profile_first(docs: DataFrame, n: int) -> DataFrame:
+    """``profile_modules`` of the first ``n`` files of each repository by role and path.
+
+    Files are ranked by their paths alone, and only those that stay are analysed.
+    """
+    key = ["repo", "path"]
+    return profile_modules(keep_listed(docs, priority_limit(nonblank(docs).select(*key), n), key))
+
+
 def explode_top_functions(modules: DataFrame) -> DataFrame:
     """One row per top function with its rank in the module."""
     # a mapped array, since a filter on the size of the plain one would be pushed below the extraction

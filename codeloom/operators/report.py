@@ -150,25 +150,30 @@ def report_modules(modules: DataFrame, n: int = K.REPORT_MODULES) -> DataFrame:
 
 
 def grouped_modules(modules: Column) -> Column:
-    """Names and paths of an array of modules by role, all six roles included."""
+    """Names and paths of an array of modules with their ``role`` by it, all six roles included."""
     def members(role: str) -> Column:
-        own = F.filter(modules, lambda m: paths.role(F.coalesce(m["path"], F.lit(""))) == role)
+        own = F.filter(modules, lambda m: m["role"] == role)
         return F.transform(own, lambda m: F.struct(m["module_name"].alias("module_name"), m["path"].alias("path")))
 
     names = F.array(*[F.lit(r) for r in K.ROLES])
     return F.map_from_arrays(names, F.array(*[members(r) for r in K.ROLES]))
 
 
-def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+def assemble_reports(
+    modules: DataFrame, urls: DataFrame | None = None, profiled: DataFrame | None = None
+) -> DataFrame:
     """One offline report per repository, in the report form, and its ``repository``.
 
+    Of ``modules`` only paths and languages are read where ``profiled`` holds the modules
+    that reports may show (``profile_first``).
+
     ``grouped_modules`` tells the first modules by role and ``role_counts`` how many there
     are in all. All modules by role are a table of their own (``modules_by_role``), because
     they grow with the repository while a report row must not.
     """
     columns = [c for c in modules.columns if c != "repo"]
-    first = report_modules(modules).groupBy("repo").agg(
-        F.sort_array(F.collect_list(F.struct("priority", *columns))).alias("key_modules")
+    first = report_modules(modules if profiled is None else profiled).groupBy("repo").agg(
+        F.sort_array(F.collect_list(F.struct("priority", "role", *columns))).alias("key_modules")
     )
     sizes = role_counts(modules).groupBy("repo").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n_modules")))).alias(
@@ -190,7 +195,7 @@ def assemble_reports(modules: DataFrame, urls: DataFrame | None = None) -> DataF
         "primary_languages",
         F.lit("").alias("architecture_summary"),
         none.alias("dependencies"),
-        F.transform("key_modules", lambda m: m.dropFields("priority")).alias("key_modules"),
+        F.transform("key_modules", lambda m: m.dropFields("priority", "role")).alias("key_modules"),
         grouped_modules(F.col("key_modules")).alias("grouped_modules"),
         "role_counts",
         F.struct(
@@ -213,10 +218,11 @@ def with_report_defaults(reports: DataFrame) -> DataFrame:
     listed = reports.withColumn("generated_at", F.coalesce("generated_at", now)).withColumn(
         "key_modules", F.coalesce("key_modules", no_modules)
     )
-    placed = F.transform(
-        "key_modules",
-        lambda m: F.struct(m["module_name"].alias("module_name"), F.coalesce(m["path"], F.get(m["paths"], F.lit(0))).alias("path")),
-    )
+    def roled(m: Column) -> Column:
+        path = F.coalesce(m["path"], F.get(m["paths"], F.lit(0)))
+        return F.struct(m["module_name"].alias("module_name"), path.alias("path"), paths.role(path).alias("role"))
+
+    placed = F.transform("key_modules", roled)
     return listed.withColumn("grouped_modules", F.coalesce("grouped_modules", grouped_modules(placed)))
 
 

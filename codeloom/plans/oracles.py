@@ -239,7 +239,7 @@ add(
     "SELECT conv_id, turn, CASE WHEN s = '' THEN '<summary unavailable>' ELSE s END AS summary "
     f"FROM (SELECT conv_id, turn, replace({strip('coalesce(c, d, chr(32))')}, chr(10), ' ') AS s "
     "FROM (SELECT *, CASE WHEN role = 'user' THEN nullif(text, '') END AS c, "
-    "CASE WHEN turn % 4 = 1 THEN ' ' || chr(10) || left(text, 60) || chr(10) "
+    "CASE WHEN turn % 4 = 1 THEN ' ' || chr(10) || text || chr(10) "
     "WHEN turn % 4 = 3 THEN ' ' END AS d FROM conversations))",
 )
 add("collection_name",

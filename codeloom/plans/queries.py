@@ -268,7 +268,7 @@ def summary_defaults(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations")
     said = F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit(""))
     described = F.when(
-        F.col("turn") % 4 == 1, F.concat(F.lit(" \n"), F.substring("text", 1, 60), F.lit("\n"))
+        F.col("turn") % 4 == 1, F.concat(F.lit(" \n"), F.col("text"), F.lit("\n"))
     ).when(F.col("turn") % 4 == 3, F.lit(" \n "))
     return turns.select(
         "conv_id", "turn", text.summary_or_default(said, described).alias("summary")
@@ -661,7 +661,7 @@ def prompt_context(spark, sf_dir):
 
 @query
 def prompt_evidence(spark, sf_dir):
-    return report.prompt_evidence(_modules(spark, sf_dir))
+    return report.prompt_evidence(fn.profile_first(fx.corpus(spark, sf_dir), K.PROMPT_MODULES))
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -669,7 +669,9 @@ def prompt_evidence(spark, sf_dir):
 
 @query
 def report_assemble(spark, sf_dir):
-    reports = report.assemble_reports(_modules(spark, sf_dir))
+    docs = fx.corpus(spark, sf_dir)
+    shown = fn.profile_first(docs, K.REPORT_MODULES)
+    reports = report.assemble_reports(fn.profile_modules(docs), profiled=shown)
     module_paths = F.transform("key_modules", lambda m: m["path"])
     return reports.select(
         F.col("repository").alias("repo"), "project_name", "project_overview",
