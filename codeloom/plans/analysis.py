@@ -15,7 +15,7 @@ from codeloom.operators import inference, report, search
 from codeloom.operators.chunking import chunk_files
 from codeloom.operators.functions import explode_top_functions, profile_modules
 from codeloom.operators.ranking import cap_files
-from codeloom.session import stage
+from codeloom.session import measured_stage, stage
 from codeloom.sources import tables
 from codeloom.sources.caches import CacheTable, open_cache
 from codeloom.sources.corpus import scan_files
@@ -24,7 +24,10 @@ from codeloom.sources.reports import write_groups, write_reports
 
 @dataclass(frozen=True)
 class Analysis:
-    """Written results of a run; ``rejects`` holds inputs a model never answered."""
+    """Written results of a run; ``rejects`` holds inputs a model never answered.
+
+    ``metrics`` tells rows and characters of the stages, observed as they were written.
+    """
 
     modules: DataFrame
     chunks: DataFrame
@@ -33,6 +36,7 @@ class Analysis:
     reports: DataFrame
     groups: DataFrame
     rejects: DataFrame
+    metrics: dict[str, dict[str, int]]
 
 
 def describe_modules(
@@ -103,12 +107,16 @@ def analyse(
     caches = cache_folder or f"{folder}/caches"
     docs = cap_files(scan_files(files), max_files)
 
-    profiled = stage(profile_modules(docs), f"{folder}/profiled")
+    profiled, module_totals = measured_stage(
+        profile_modules(docs), f"{folder}/profiled", functions=F.sum("num_functions"), lines=F.sum("total_lines")
+    )
     summaries = open_cache(spark, caches, chat_model, "summary")
     described, told = describe_modules(profiled, summaries, chat_model, folder, make_describer)
     modules = stage(described, f"{folder}/modules")
 
-    chunks = stage(chunk_files(docs), f"{folder}/chunks")
+    chunks, chunk_totals = measured_stage(
+        chunk_files(docs), f"{folder}/chunks", chars=F.sum(F.length("text"))
+    )
     requests = chunks.select(F.col("chunk_sha").alias("sha"), "text")
     held = open_cache(spark, caches, embed_model, "vector", dim)
     embedded = inference.embed_cached(
@@ -128,4 +136,5 @@ def analyse(
     return Analysis(
         modules, chunks, points, prompts, reports, groups,
         embedded.rejects.unionByName(told.rejects),
+        {"modules": module_totals, "chunks": chunk_totals},
     )

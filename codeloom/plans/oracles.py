@@ -407,6 +407,11 @@ add(
     "FROM chunks GROUP BY repo) c ON c.repo = f.repo",
     f"files AS ({DOC_FILES})", CHUNKED,
 )
+add(
+    "run_metrics",
+    "SELECT count(*) AS chunks, CAST(sum(length(t)) AS BIGINT) AS chunk_chars FROM chunks",
+    f"files AS ({DOC_FILES})", CHUNKED,
+)
 add(
     "dedup_hash",
     "SELECT sha256(text) AS sha, CAST(length(text) AS INTEGER) AS n_chars "

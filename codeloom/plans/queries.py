@@ -26,7 +26,7 @@ from codeloom.operators import (
 from codeloom.operators import functions as fn
 from codeloom.plans import fixtures as fx
 from codeloom.plans.analysis import analyse, describe_modules
-from codeloom.session import run_folder, spread, stage
+from codeloom.session import measured_stage, run_folder, spread, stage
 from codeloom.sources import corpus as scan
 from codeloom.sources import reports as report_io
 from codeloom.sources import tables
@@ -384,6 +384,14 @@ def corpus_totals(spark, sf_dir):
     return report.corpus_totals(docs, chunking.chunk_files(docs))
 
 
+@query
+def run_metrics(spark, sf_dir):
+    """Totals of a chunking stage, observed while it is written."""
+    chunks = chunking.chunk_files(_doc_chunks(spark, sf_dir))
+    _, seen = measured_stage(chunks, run_folder(spark, "chunks"), chars=F.sum(F.length("text")))
+    return spark.createDataFrame([(seen["rows"], seen["chars"])], "chunks long, chunk_chars long")
+
+
 @query
 def dedup_hash(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
