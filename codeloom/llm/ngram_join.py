@@ -8,9 +8,15 @@ pays where the estimated number of candidates is high. Pairs are then verified o
 whole sets.
 
 Equal sets are one node throughout. Links inside one component need no further pairs:
-first every posting list links to its least node only, then the lists are joined in full
-between nodes that are still apart. So a large group of copies costs a star, not all its
-pairs, and no link between components is lost.
+first every posting list links to its least node, in further rounds long lists link to other
+nodes of theirs, then the lists are joined between nodes that are still apart. So a large
+group of copies costs a few stars, not all its pairs, and no link between components is lost.
+The components are found; links inside them are neither made nor counted.
+
+The join itself meets on the core of a prefix only. The first token that two similar sets
+share stands among the first n - ceil(2t / (1 + t) * n) + 1 of the smaller and the first
+m - ceil(t * m) + 1 of the larger one, and leaves enough tokens behind it. The longer
+prefixes then say how many tokens a pair shares before it is verified.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ SKETCH_BITS = 20
 CHUNKS = 64
 MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of a candidate, in postings
+STAR_ROUNDS = 2  # of stars around other nodes than the least
+LONG_LIST = 16  # nodes of a posting list from which further stars pay
 _PROFILE = "doc_id long, n_shingles int, node long, text_key long, chunk int, counts binary"
 
 
@@ -115,7 +123,7 @@ def choose_prefix(shingles: np.ndarray, counts: np.ndarray, noise: float, percen
 
 
 def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, node, n, need) of all prefixes whose token stands in two nodes or more, and the list's least node."""
+    """(token, pos, node, n, need) of all prefixes whose token stands in two nodes or more, and the list's least node."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))  # 8 MB at any size of input
 
     def work(batches):
@@ -123,7 +131,7 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
         mean = table_.mean()
         noise = max(1.0, mean + 3 * np.sqrt(mean))
         for batch in slices(batches, "text"):
-            tokens, nodes, sizes, needs = [], [], [], []
+            tokens, places, nodes, sizes, needs = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 if not len(s) or (node := set_key(s)) in seen:
                     continue
@@ -131,13 +139,14 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                     seen.add(node)  # spares copies in this task their postings
                 prefix, need = choose_prefix(s, table_[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64), noise, percent)
                 tokens.append(prefix)
+                places.append(np.arange(len(prefix), dtype=np.int32))
                 nodes.append(np.full(len(prefix), node, np.int64))
                 sizes.append(np.full(len(prefix), len(s), np.int32))
                 needs.append(np.full(len(prefix), need, np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], nodes, sizes, needs)], names=["token", "node", "n", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], places, nodes, sizes, needs)], names=["token", "pos", "node", "n", "need"])
 
-    rows = over_arrow(docs, work, "token long, node long, n int, need int")
+    rows = over_arrow(docs, work, "token long, pos int, node long, n int, need int")
     own = Window.partitionBy("token")
     rows = rows.withColumns({"center": F.min(F.struct("node", "n", "need")).over(own), "last": F.max("node").over(own)})
     return staged(rows.where("center.node <> last").drop("last").distinct(), "postings")
@@ -165,34 +174,70 @@ def star_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_possible(F.col("c"), F.col("n"), F.col("l"), F.col("m"), F.col("k"), percent)).select("a", "b")
 
 
-def remaining_pairs(posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def live_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Posting rows with their node's root, of the lists that hold more than one root."""
+    labels = staged(posts.drop("center", "root", "nodes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    lists = labels.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("nodes"))
+    return staged(labels.join(staged(lists.where("x <> y").select("token", "nodes"), "apart"), "token"), "live")
+
+
+def further_stars(live: DataFrame, round_: int, percent: int) -> DataFrame:
+    """Candidates between a seeded node of each long list and the nodes of other roots in it."""
+    long = live.where(F.col("nodes") >= LONG_LIST)
+    center = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "need", "root")).alias("center")
+    centers = staged(long.groupBy("token").agg(center), "centers")
+    rows = long.join(centers, "token").where("root <> center.root").where(_sizes_fit(F.col("n"), F.col("center.n"), percent))
+    return star_pairs(rows, percent)
+
+
+def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
     """All candidates between nodes of different components.
 
     The key of the join is the token and a band of set sizes, so that only sets of
-    compatible sizes meet.
+    compatible sizes meet, and only on the cores of their prefixes.
     """
-    labels = posts.drop("center").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labels = staged(labels, "labelled")
-    apart = labels.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    live = labels.join(staged(apart, "apart"), "token", "left_semi")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    live = staged(live.withColumn("band", band), "live")
-    left = live.select("token", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n"), F.col("need").alias("l"), F.col("root").alias("ra"))
-    right = live.select("token", "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("need").alias("k"), F.col("root").alias("rb"))
+    rows = live.withColumn("band", band)
+    smaller = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    larger = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)
+    left = rows.where(smaller).select("token", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n"), F.col("need").alias("l"), F.col("root").alias("ra"), F.col("pos").alias("i"))
+    right = rows.where(larger).select("token", "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("need").alias("k"), F.col("root").alias("rb"), F.col("pos").alias("j"))
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["token", "band"]).where((F.col("ra") != F.col("rb")) & ordered & (F.col("n") * 100 >= F.col("m") * percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "l", "m", "k")])
+    room = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    fits = (F.col("n") * 100 >= F.col("m") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    pairs = left.join(right, ["token", "band"]).where((F.col("ra") != F.col("rb")) & ordered & fits)
+    pairs = staged(pairs.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("n", "l", "m", "k", "ra", "rb")]), "met")
+    ends = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    held = staged(live.join(ends, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("held")), "prefixes")
+    pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    pairs = pairs.withColumn("c", F.size(F.array_intersect("x", "y")))
     return pairs.where(_possible(F.col("c"), F.col("n"), F.col("l"), F.col("m"), F.col("k"), percent)).select("a", "b")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links: components of the old roots, so that rows grow with roots."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        known = roots.select(F.col("node").alias(end), F.col("root").alias("r"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    above = staged(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")), "above")
+    old = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+    return staged(old.unionByName(fresh), "roots")
+
+
 def linked_roots(posts: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of all linked nodes: stars first, then every candidate between components."""
     links = verified(staged(star_pairs(posts, percent), "stars"), texts, nodes, size, percent)
     roots = staged(components(links), "roots")
-    rest = staged(remaining_pairs(posts, roots, percent), "remaining")
-    if not rest.head(1):
-        return roots
-    return components(links.unionByName(verified(rest, texts, nodes, size, percent)))
+    live = live_lists(posts, roots)
+    for k in range(STAR_ROUNDS):
+        stars = staged(further_stars(live, k, percent), "stars")
+        if stars.head(1):
+            roots = merged(roots, verified(stars, texts, nodes, size, percent))
+            live = live_lists(live, roots)
+    rest = staged(remaining_pairs(live, percent), "remaining")
+    return merged(roots, verified(rest, texts, nodes, size, percent)) if rest.head(1) else roots
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
