@@ -8,9 +8,9 @@ pays where the estimated number of candidates is high. Pairs are then verified o
 whole sets.
 
 Equal sets are one node throughout. Links inside one component need no further pairs:
-first every posting list links to its least node, in further rounds long lists link to other
-nodes of theirs, then the lists are joined between nodes that are still apart. So a large
-group of copies costs a few stars, not all its pairs, and no link between components is lost.
+first every posting list links to its least node only, then the lists are joined between
+nodes that are still apart. So a large group of copies costs a star, not all its pairs, and
+no link between components is lost.
 The components are found; links inside them are neither made nor counted.
 
 The join itself meets on the core of a prefix only. The first token that two similar sets
@@ -40,8 +40,6 @@ SKETCH_BITS = 20
 CHUNKS = 64
 MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of a candidate, in postings
-STAR_ROUNDS = 2  # of stars around other nodes than the least
-LONG_LIST = 16  # nodes of a posting list from which further stars pay
 _PROFILE = "doc_id long, n_shingles int, node long, text_key long, chunk int, counts binary"
 
 
@@ -176,18 +174,9 @@ def star_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 def live_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
     """Posting rows with their node's root, of the lists that hold more than one root."""
-    labels = staged(posts.drop("center", "root", "nodes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    lists = labels.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("nodes"))
-    return staged(labels.join(staged(lists.where("x <> y").select("token", "nodes"), "apart"), "token"), "live")
-
-
-def further_stars(live: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Candidates between a seeded node of each long list and the nodes of other roots in it."""
-    long = live.where(F.col("nodes") >= LONG_LIST)
-    center = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "need", "root")).alias("center")
-    centers = staged(long.groupBy("token").agg(center), "centers")
-    rows = long.join(centers, "token").where("root <> center.root").where(_sizes_fit(F.col("n"), F.col("center.n"), percent))
-    return star_pairs(rows, percent)
+    labels = staged(posts.drop("center").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    lists = labels.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    return staged(labels.join(staged(lists.where("x <> y").select("token"), "apart"), "token", "left_semi"), "live")
 
 
 def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +195,7 @@ def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
     room = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     pairs = left.join(right, ["token", "band"]).where((F.col("ra") != F.col("rb")) & ordered & fits)
-    pairs = staged(pairs.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("n", "l", "m", "k", "ra", "rb")]), "met")
+    pairs = staged(pairs.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("n", "l", "m", "k")]), "met")
     ends = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
     held = staged(live.join(ends, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("held")), "prefixes")
     pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
@@ -231,11 +220,6 @@ def linked_roots(posts: DataFrame, texts: DataFrame, nodes: DataFrame, size: int
     links = verified(staged(star_pairs(posts, percent), "stars"), texts, nodes, size, percent)
     roots = staged(components(links), "roots")
     live = live_lists(posts, roots)
-    for k in range(STAR_ROUNDS):
-        stars = staged(further_stars(live, k, percent), "stars")
-        if stars.head(1):
-            roots = merged(roots, verified(stars, texts, nodes, size, percent))
-            live = live_lists(live, roots)
     rest = staged(remaining_pairs(live, percent), "remaining")
     return merged(roots, verified(rest, texts, nodes, size, percent)) if rest.head(1) else roots
 
