@@ -128,7 +128,7 @@ def _placed(rows: DataFrame, key: str, body: F.Column, n: F.Column) -> DataFrame
 
 @query
 def points_upsert(spark, sf_dir):
-    """Labelled documents land anew, each twice, and grow, shrink or lose all chunks."""
+    """A written table of points, in which labelled documents land anew, each twice, and grow, shrink or lose all chunks."""
     label = F.concat(F.lit("label "), F.col("label").cast("string"))
     held = fx.table(spark, sf_dir, "embeddings")
     target = _placed(held, "vec_id", label, F.col("vec_id") % 3 + 1)
@@ -137,7 +137,10 @@ def points_upsert(spark, sf_dir):
     new = _placed(docs, "doc_id", F.col("text"), F.floor(F.col("doc_id") / 3) % 4)
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     landed = docs.select(F.lit("repo").alias("repo"), path.alias("path"))
-    merged = tables.replace_files(target, new, landed.union(landed))
+    base, one = run_folder(spark, "points"), F.array(F.lit(1.0).cast("float")).alias("vector")
+    first = target.select("*", one)
+    tables.upsert_points(spark, base, first, 1, first.select(*tables.FILE).distinct())
+    merged = tables.upsert_points(spark, base, new.select("*", one), 1, landed.union(landed))
     return merged.select(
         "id", "path", "chunk_index", text.content_hash(F.col("text")).alias("text_sha")
     )

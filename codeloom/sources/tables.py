@@ -1,4 +1,4 @@
-"""Written tables of points by repository on any shared file system."""
+"""Written tables of points by repository and bucket of paths on any shared file system."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from codeloom.functions import paths
 from codeloom.operators.skew import HOT_ROWS, keep_listed, skew_join
 
 FILE = ["repo", "path"]
+PART = ["repo", "bucket"]
+BUCKETS = 16  # of a repository's paths; the same for a table's whole life
+
 
 def _exists(spark: SparkSession, base: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
@@ -40,11 +43,21 @@ def check_dimension(points: DataFrame, dim: int) -> DataFrame:
     return points.where(F.assert_true(size == dim, message).isNull())
 
 
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Add the bucket of each row's path, by which a repository is written in parts."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+
+
+def _stored(spark: SparkSession, base: str) -> DataFrame:
+    schema = f"{schemas.POINTS}, bucket int"
+    if not _exists(spark, base):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(base).where(F.col("id").isNotNull())
+
+
 def read_points(spark: SparkSession, base: str) -> DataFrame:
     """The points table, empty before its first points."""
-    if not _exists(spark, base):
-        return spark.createDataFrame([], schemas.POINTS)
-    return spark.read.schema(schemas.POINTS).parquet(base).where(F.col("id").isNotNull())
+    return _stored(spark, base).drop("bucket")
 
 
 def replace_files(target: DataFrame, new: DataFrame, landed: DataFrame) -> DataFrame:
@@ -54,23 +67,26 @@ def replace_files(target: DataFrame, new: DataFrame, landed: DataFrame) -> DataF
 
 
 def upsert_points(
-    spark: SparkSession, base: str, new: DataFrame, dim: int, landed: DataFrame
+    spark: SparkSession, base: str, new: DataFrame, dim: int, landed: DataFrame, buckets: int = BUCKETS
 ) -> DataFrame:
     """Replace all points of the ``landed`` files ``(repo, path)`` by those in ``new``.
 
-    A landed file without new points loses those it had. Only the partitions of landed
-    repositories are read and overwritten, each in one or more files of a bounded size.
-    A row without an id stands in each, so that one whose last point went is overwritten
-    too. A batch that is run again after a failure gives the same table.
+    A landed file without new points loses those it had. Only the parts (repository, bucket
+    of paths) that hold landed files are read and overwritten, each in one or more files of a
+    bounded size, so a few files that land in a big repository move a few of its parts.
+    A row without an id stands in each part, so that one whose last point went is overwritten
+    too. A batch that is run again after a failure gives the same table. ``buckets`` stays
+    the same for a table.
     """
-    repos = landed.select("repo").distinct()
-    marks = repos.select(
-        "repo", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema if f.name != "repo"]
+    parts = bucketed(landed.select(*FILE), buckets).select(*PART).distinct()
+    held = keep_listed(_stored(spark, base), parts, PART)
+    fresh = bucketed(check_dimension(new, dim), buckets)
+    marks = parts.select(
+        *PART, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema if f.name not in PART]
     )
-    held = keep_listed(read_points(spark, base), repos, ["repo"])
-    merged = replace_files(held, check_dimension(new, dim), landed).unionByName(marks)
-    writer = merged.hint("rebalance", F.col("repo")).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(base)
+    merged = replace_files(held, fresh, landed).unionByName(marks)
+    writer = merged.hint("rebalance", *[F.col(c) for c in PART]).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*PART).parquet(base)
     return read_points(spark, base)
 
 

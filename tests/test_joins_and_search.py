@@ -212,7 +212,8 @@ def test_upsert_replaces_files_and_touches_no_other_repository(spark, tmp_path):
         return spark.createDataFrame(list(keys), "repo string, path string")
 
     def files(repo):
-        return {f.name: f.stat().st_mtime_ns for f in (tmp_path / "points" / f"repo={repo}").iterdir()}
+        found = (tmp_path / "points" / f"repo={repo}").rglob("*.parquet")
+        return {(f.parent.name, f.name): f.stat().st_mtime_ns for f in found}
 
     first = points(("1", "a", 7, 1), ("1", "b", 2, 1), ("02", "a", 3, 1), ("3", "only", 1, 1))
     keys = landed(("1", "a"), ("1", "b"), ("02", "a"), ("3", "only"))
@@ -230,6 +231,14 @@ def test_upsert_replaces_files_and_touches_no_other_repository(spark, tmp_path):
     with pytest.raises(Exception, match="vector must have"):
         tables.upsert_points(spark, base, second, 2, keys)
     assert tables.read_points(spark, base).count() == 8
+    many = points(*[("big", f"f{k}", 1, 1) for k in range(200)])
+    assert tables.upsert_points(spark, base, many, 1, many.select("repo", "path")).where("repo = 'big'").count() == 200
+    before, one = files("big"), points(("big", "f7", 2, 9))
+    again = tables.upsert_points(spark, base, one, 1, landed(("big", "f7"))).where("repo = 'big'")
+    assert again.count() == 201 and again.where("path = 'f7'").count() == 2
+    changed = {part for part, _ in set(before.items()) ^ set(files("big").items()) for part in [part[0]]}
+    assert len(changed) == 1 and len({part for part, _ in before}) == 16
+    assert "bucket" not in again.columns
 
 
 def test_last_answer_to_a_hash_counts(spark):
