@@ -44,6 +44,30 @@ def _one_report(spark):
     return reports, files
 
 
+def test_modules_and_claims_are_read_a_fixed_few_times(spark, tmp_path, monkeypatch):
+    """The wide modules are read for their candidates and once more; claims for counts and once more."""
+    reports, files = _one_report(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(frame.num_rows)
+            yield frame
+
+    counted = reports.mapInArrow(seen, reports.schema)
+    placed = validation.placed_modules(counted, files, str(tmp_path / "run"))
+    assert read.value == 2 * reports.count()
+    read.value = 0
+    claims = validation.method_claims(placed)
+    n = claims.count()
+    found = validation.against_files(
+        claims.mapInArrow(seen, claims.schema), files, validation.branch_facts, validation.cut_evidence,
+        ["report_id", "module_pos", "method_pos"],
+    )
+    assert len(found.collect()) == n
+    assert read.value <= 3 * n  # counts, rows with a path, rows without
+
+
 def test_snippets_are_moved_once_and_written_small(spark, tmp_path):
     reports, files = _one_report(spark)
     found = validation.validate(reports, files, str(tmp_path / "run"))
