@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import spread
+from codeloom.session import spread, spread_rows
 from codeloom.sources.corpus import admitted
 
 _KEYS = ("*", "CAST(p_partkey AS VARCHAR(20)) AS k", "chr(10) AS nl")
@@ -60,8 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A part is a file to analyse: few bytes, but some milliseconds of work.
+FILES_PER_TASK = 10_000
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name"))
+    named = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    parts = spread_rows(named, FILES_PER_TASK)
     return parts.selectExpr(*_KEYS).selectExpr(
         "CAST(p_partkey AS BIGINT) AS file_id",
         f"{_REPO} AS repo",

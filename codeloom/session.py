@@ -103,3 +103,13 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """``spread`` a narrow input whose rows mean much work over tasks of ``rows`` rows on average.
+
+    Its splits follow its bytes, so that there may be few however many rows it has.
+    """
+    wanted = -(-df.count() // rows)
+    dealt = spread(df)
+    return dealt if dealt.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
