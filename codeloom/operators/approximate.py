@@ -14,18 +14,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom import constants as K
-from codeloom.operators.search import checked_points
-from codeloom.operators.skew import HOT_ROWS, broadcast_few, dealt, repeated, written_hot_keys
+from codeloom.operators.search import TILE_SCORES, _first, checked_points
+from codeloom.operators.skew import broadcast_few, dealt, repeated, written_hot_keys
 from codeloom.session import ship_package
 
 TABLES, BITS, PROBES = 8, 8, 32
 MOST_BITS = 16  # every bucket of a table is ranked for each query
 BROADCAST_PROBES = 50_000
+BUCKET_ROWS = 100_000  # of a bucket that a task holds at once
+PAIRS = 1 << 16  # whose vectors are gathered for one step of exact scores
 BUCKET = ["table", "bucket"]
 
 
@@ -126,11 +129,88 @@ def _scored(pairs: DataFrame, dim: int) -> DataFrame:
     return pairs.select(*names, "wanted", "vector").mapInArrow(work, schema)
 
 
-def search_index(queries: DataFrame, index: Index, k: int = K.TOP_K, probes: int = PROBES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _exact(queries: np.ndarray, points: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (q, p); -inf where there is none."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        part = slice(at, at + PAIRS)
+        a, b = queries[q[part]], points[p[part]]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[part] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    out[np.isnan(out)] = -np.inf
+    return out
+
+
+class _Bucket:
+    """The points of a bucket by ascending id; asked with queries, some at a time."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, most: int) -> None:
+        self.ids, self.vectors = ids, vectors
+        lengths = np.linalg.norm(vectors, axis=1)
+        self.unit = vectors / np.where(lengths > 0, lengths, np.nan)[:, None]
+        # rows of one id compete with each other, so more of them are kept
+        self.wanted = k if len(pc.unique(ids)) == len(ids) else most
+        self.tile = max(1, TILE_SCORES // max(1, len(ids)))
+
+    def first(self, query_ids: pa.Array, queries: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """(query_id, id, score) of the first rows of every query by score, then id."""
+        for at in range(0, len(queries), self.tile):
+            some = queries[at : at + self.tile]
+            with np.errstate(invalid="ignore"):
+                near = some @ self.unit.T
+            near[np.isnan(near)] = -np.inf
+            bound = np.full(len(some), -np.inf)
+            if near.shape[1] > self.wanted:
+                place = near.shape[1] - self.wanted
+                edge = np.partition(near, place, axis=1)[:, place]
+                slack = 1e-9 * np.linalg.norm(some, axis=1)  # products differ from exact scores in the last digits
+                told = np.isfinite(edge) & np.isfinite(slack)
+                bound[told] = edge[told] - slack[told]
+            q, p = np.nonzero(near >= bound[:, None])
+            q, p, scores = _first(q, p, _exact(some, self.vectors, q, p), self.wanted)
+            yield query_ids.slice(at).take(pa.array(q)), self.ids.take(pa.array(p)), pa.array(np.where(np.isinf(scores), np.nan, scores), from_pandas=True)
+
+
+def _met(rows: DataFrame, asked: DataFrame, on: list[str], dim: int, k: int, most: int) -> DataFrame:
+    """(query_id, id, score) of the first rows of every query in every bucket it asks.
+
+    Both sides lie by bucket, points before queries. A task holds the points of one bucket
+    and takes its queries as they come, a matrix product at a time; no pair is a row.
+    """
+    kinds = {"query_id": asked.schema["query_id"].dataType, "id": rows.schema["id"].dataType}
+    schema = T.StructType([*[T.StructField(c, t) for c, t in kinds.items()], T.StructField("score", T.DoubleType())])
+    points = rows.select(*on, F.lit(0).alias("kind"), "id", F.lit(None).cast(kinds["query_id"]).alias("query_id"), "vector")
+    queries = asked.select(*on, F.lit(1).alias("kind"), F.lit(None).cast(kinds["id"]).alias("id"), "query_id", F.col("wanted").alias("vector"))
+    names, marks = ["query_id", "id", "score"], [*on, "kind"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, bucket_of, parts_of = None, [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in marks])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()] if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                run, key = batch.slice(a, b - a), tuple(keys[:-1, a])
+                if keys[-1, a] == 0:
+                    parts = [*parts, run] if parts_of == key else [run]
+                    parts_of, bucket = key, None
+                elif parts_of == key:
+                    if bucket is None or bucket_of != key:
+                        ids = pa.concat_arrays([x.column("id") for x in parts])
+                        bucket = _Bucket(ids, np.concatenate([_matrix(x.column("vector"), dim) for x in parts]), k, most)
+                        bucket_of, parts = key, []
+                    for columns in bucket.first(run.column("query_id"), _matrix(run.column("vector"), dim)):
+                        yield pa.RecordBatch.from_arrays(list(columns), names=names)
+
+    ship_package(rows.sparkSession)
+    together = points.unionByName(queries).repartition(*on)
+    return together.sortWithinPartitions(*marks, "id").mapInArrow(work, schema)
+
+
+def search_index(queries: DataFrame, index: Index, k: int = K.TOP_K, probes: int = PROBES, hot_rows: int = BUCKET_ROWS) -> DataFrame:
     """Up to ``k`` hits ``(query_id, rank, id, score)`` of every query ``(query_id, vector)``.
 
     Few queries go to the index rows where they are; of many, both sides are shuffled by
-    bucket, and a bucket with more than ``hot_rows`` rows is dealt over shares that its
+    bucket and scored a bucket at a time. A bucket with more than ``hot_rows`` rows is dealt over shares that its
     queries are repeated for. A pair met in several tables counts once. Queries of another
     dimension or with a null number have no hits.
     """
@@ -138,13 +218,14 @@ def search_index(queries: DataFrame, index: Index, k: int = K.TOP_K, probes: int
     asked = _probes(usable, index, probes)
     rows = index.rows(queries.sparkSession)
     hinted = broadcast_few(asked, BROADCAST_PROBES)
-    on = BUCKET
     if hinted is asked:
-        hot = written_hot_keys(rows, BUCKET, hot_rows)
+        hot, on = written_hot_keys(rows, BUCKET, hot_rows), BUCKET
         if hot is not None:
             few_hot, on = broadcast_few(hot), [*BUCKET, "_salt"]
-            rows, hinted = dealt(rows, few_hot, BUCKET, ["id"]), repeated(asked, few_hot, BUCKET)
-    scored = _scored(rows.join(hinted, on), index.dim)
+            rows, asked = dealt(rows, few_hot, BUCKET, ["id"]), repeated(asked, few_hot, BUCKET)
+        scored = _met(rows, asked, on, index.dim, k, k * index.tables)
+    else:
+        scored = _scored(rows.join(hinted, BUCKET), index.dim)
     best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
     # a pair comes once per table at most, so the first k pairs are among these rows
     first = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k * index.tables)
