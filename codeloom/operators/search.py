@@ -17,6 +17,7 @@ from codeloom.functions import vectors
 from codeloom.session import run_folder, ship_package, stage
 
 QUERY_BLOCK_BYTES = 32 << 20
+ROUNDED = 1e-11  # scores are rounded to 12 digits, so nearer ones may tie
 
 
 def checked_points(points: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +64,9 @@ class _Nearest:
     """The k best points of every query of a block, over tiles of points.
 
     A tile holds ``tile_scores`` scores at most. A point competes for a query if its score
-    is not below the query's k-th best so far nor below the k-th best of its tile, so ties
-    at the edge all compete and few pairs are sorted.
+    is not below the query's k-th best so far nor, where many compete, below the k-th best
+    of its tile, so ties at the edge all compete and few pairs are sorted. What competes
+    waits until it is as much as is held, so that the held rows are not sorted for every tile.
     """
 
     def __init__(self, queries: np.ndarray, k: int, tile_scores: int) -> None:
@@ -74,21 +76,39 @@ class _Nearest:
         self.q = np.zeros(0, np.int64)
         self.ids: np.ndarray | None = None
         self.scores = np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        lengths = np.linalg.norm(vectors, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         for at in range(0, len(ids), self.rows):
             part = slice(at, at + self.rows)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                # equal points may differ in the last digits of a product; rounded, they tie
-                scores = np.round((vectors[part] @ self.queries.T) / lengths[part, None], 12)
-            scores[np.isnan(scores)] = -np.inf
-            edge = self.edge
-            if len(scores) > self.k:
-                edge = np.maximum(edge, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
-            point, query = np.nonzero(scores >= edge)
+            with np.errstate(invalid="ignore"):
+                scores = unit[part] @ self.queries.T
+            point, query = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            few = bool(np.isfinite(self.edge).all())  # a score that is no number is no rival then
+            if few:
+                hits = scores >= self.edge - ROUNDED
+                few = np.count_nonzero(hits) <= 4 * self.k * len(self.queries)
+            if few:
+                point, query = np.nonzero(hits)
+            else:
+                scores[np.isnan(scores)] = -np.inf
+                edge = self.edge
+                if len(scores) > self.k:
+                    edge = np.maximum(edge, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+                point, query = np.nonzero(scores >= edge - ROUNDED)
             if len(point):
-                self._merge(query, ids[part][point], scores[point, query])
+                # equal points may differ in the last digits of a product; rounded, they tie
+                self.waiting.append((query, ids[part][point], np.round(scores[point, query], 12)))
+                if sum(len(w[0]) for w in self.waiting) >= self.k * len(self.queries):
+                    self._flush()
+        self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self._merge(*[np.concatenate(x) for x in zip(*self.waiting, strict=True)])
+            self.waiting = []
 
     def _merge(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         ids = ids if self.ids is None else np.concatenate([self.ids, ids])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from codeloom.operators import approximate
+from codeloom.operators import approximate, search
 
 
 @pytest.mark.parametrize("hot_rows", [approximate.BUCKET_ROWS, 20])
@@ -26,3 +26,22 @@ def test_buckets_give_the_hits_of_joined_pairs(spark, tmp_path, monkeypatch, hot
     got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found.where("id is not null").collect())
     assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) > 500
     assert all((a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-12) for a, b in zip(got, want, strict=True))
+
+
+def test_held_rows_are_not_sorted_for_every_tile(monkeypatch):
+    draw = np.random.default_rng(6)
+    queries, points = draw.normal(size=(500, 8)), draw.normal(size=(8000, 8))
+    queries[3], points[17], points[4000:4040] = np.nan, 0, points[40]  # a zero query is no number
+    merges = []
+    plain = search._Nearest._merge
+    monkeypatch.setattr(search._Nearest, "_merge", lambda self, *a: (merges.append(len(a[0])), plain(self, *a))[1])
+    small, whole = (search._Nearest(np.vstack([queries[:3], queries[4:]]), 4, n) for n in (499 * 20, 499 * 8000))
+    odd = search._Nearest(queries, 4, 500 * 20)
+    small.add(np.arange(len(points)), points)
+    tiled = len(merges)
+    assert tiled < 100  # of 400 tiles
+    for other in (whole, odd):
+        other.add(np.arange(len(points)), points)
+    assert small.ids.tolist() == whole.ids.tolist() and np.array_equal(small.scores, whole.scores)
+    assert odd.ids[odd.q == 3].tolist() == [0, 1, 2, 3]
+    assert odd.ids[odd.q != 3].tolist() == small.ids.tolist()
