@@ -110,6 +110,7 @@ def spread_rows(df: DataFrame, rows: int) -> DataFrame:
 
     Its splits follow its bytes, so that there may be few however many rows it has.
     """
-    wanted = -(-df.count() // rows)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = -(-df.count() // (rows * cores)) * cores  # whole rounds of tasks
     dealt = spread(df)
     return dealt if dealt.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
