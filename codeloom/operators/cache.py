@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import HOT_ROWS, keep_listed, skew_join
-from codeloom.session import run_folder, stage
+from codeloom.operators.skew import BROADCAST_KEYS, HOT_ROWS, skew_join
+from codeloom.session import few, run_folder, stage
 
 
 def valid_vectors(cache: DataFrame, model: str, dim: int | None = None) -> DataFrame:
@@ -43,13 +43,16 @@ def lookup(
 def misses(df: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per hash the cache does not hold.
 
-    Hashes are compared first, without the texts; a text that is a hit never moves. Rows
-    without a hash ask for nothing.
+    Hashes are compared first, without the texts. If few are missing, a text that is a hit
+    never moves; else copies of a text are merged where they are, and one of a task moves.
+    Rows without a hash ask for nothing.
     """
-    wanted = df.where(F.col("sha").isNotNull()).select("sha").distinct()
-    missing = wanted.join(entries.select("sha"), "sha", "left_anti")
+    asked = df.where(F.col("sha").isNotNull())
+    missing = asked.select("sha").distinct().join(entries.select("sha"), "sha", "left_anti")
     listed = stage(missing, run_folder(df.sparkSession, "missing"))
-    return distinct_requests(keep_listed(df, listed, ["sha"]))
+    if few(listed, BROADCAST_KEYS):
+        return distinct_requests(asked.join(F.broadcast(listed), "sha", "left_semi"))
+    return distinct_requests(asked).join(listed, "sha", "left_semi")
 
 
 def merge(hits: DataFrame, fresh: DataFrame) -> DataFrame:

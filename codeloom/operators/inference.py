@@ -179,6 +179,41 @@ def _texts(answer: object) -> tuple[str | None, str | None, str | None]:
     return said[0], said[1], None
 
 
+CALLS = 256  # whose answers make one frame, as a frame costs more than many answers
+
+
+def answered(
+    frames: Iterator[pd.DataFrame], make_describer: Callable[[], Describer],
+    batch_size: int, retries: int, backoff: float,
+) -> Iterator[pd.DataFrame]:
+    """What the model says of a task's rows ``(sha, signature, body, prompt)``, ``batch_size`` a call."""
+    describer = None
+    for block in batches(frames, batch_size * CALLS):
+        asked = block[["sha", "signature", "prompt"]].to_numpy().tolist()
+        told, errors = [], []
+        for at in range(0, len(asked), batch_size):
+            describer = describer or make_describer()
+            some = asked[at : at + batch_size]
+            items = [{"hash": h, "signature": s, "body": p} for h, s, p in some]
+
+            def call(describer=describer, items=items):
+                return _answers(describer(items))
+
+            found, error = with_retries(call, retries, lambda n: backoff**n)
+            texts = [_texts((found or {}).get(h)) for h, _, _ in some]
+            told += texts
+            errors += [error or t[2] for t in texts]
+        yield pd.DataFrame(
+            {
+                "sha": block["sha"].to_numpy(),
+                "body": block["body"].to_numpy(),
+                "said": [t[0] for t in told],
+                "described": [t[1] for t in told],
+                "error": errors,
+            }
+        )
+
+
 def describe(
     requests: DataFrame,
     make_describer: Callable[[], Describer] | None = None,
@@ -198,28 +233,7 @@ def describe(
         return requests.select("sha", plain.alias("summary"), none.alias("error"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        describer = None
-        for frame in batches(frames, batch_size):
-            describer = describer or make_describer()
-            items = [
-                {"hash": r.sha, "signature": r.signature, "body": r.prompt}
-                for r in frame.itertuples()
-            ]
-
-            def call(describer=describer, items=items):
-                return _answers(describer(items))
-
-            found, error = with_retries(call, retries, lambda n: backoff**n)
-            told = [_texts((found or {}).get(sha)) for sha in frame["sha"]]
-            yield pd.DataFrame(
-                {
-                    "sha": frame["sha"].to_numpy(),
-                    "body": frame["body"].to_numpy(),
-                    "said": [t[0] for t in told],
-                    "described": [t[1] for t in told],
-                    "error": [error or t[2] for t in told],
-                }
-            )
+        return answered(frames, make_describer, batch_size, retries, backoff)
 
     ship_package(requests.sparkSession)
     asked = requests.select(
