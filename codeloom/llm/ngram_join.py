@@ -17,6 +17,10 @@ The join itself meets on the core of a prefix only. The first token that two sim
 share stands among the first n - ceil(2t / (1 + t) * n) + 1 of the smaller and the first
 m - ceil(t * m) + 1 of the larger one, and leaves enough tokens behind it. The longer
 prefixes then say how many tokens a pair shares before it is verified.
+
+A list where more than ``CROWD`` pairs would meet is not joined: its nodes are dealt to tiles
+of bounded size, and each two tiles are compared on whole sets as a product of matrices. So
+rows grow with the postings; the comparisons inside a crowded list stay one for each pair.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ from pyspark.sql.window import Window
 from codeloom.llm.common import Words, not_space, over_arrow, slices, small, staged, table
 from codeloom.llm.components import components
 from codeloom.operators.skew import keep_listed
+from codeloom.session import ship_package
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 20
 CHUNKS = 64
 MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of a candidate, in postings
+CROWD = 4096  # pairs of a list's sides that are still met as rows: 64 a posting at most
+TILE_NODES, TILE_SHINGLES = 2048, 1 << 19  # one side of a comparison of tiles, about
+TILE_COLUMNS = 1024  # shingles that one matrix product covers
 _PROFILE = "doc_id long, n_shingles int, node long, text_key long, chunk int, counts binary"
 
 
@@ -179,11 +187,11 @@ def live_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(labels.join(staged(lists.where("x <> y").select("token"), "apart"), "token", "left_semi"), "live")
 
 
-def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """All candidates between nodes of different components.
+def meetings(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger sides of the join.
 
-    The key of the join is the token and a band of set sizes, so that only sets of
-    compatible sizes meet, and only on the cores of their prefixes.
+    Its key is the token and a band of set sizes, so that only sets of compatible sizes
+    meet, and only on the cores of their prefixes.
     """
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = live.withColumn("band", band)
@@ -191,8 +199,26 @@ def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
     larger = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)
     left = rows.where(smaller).select("token", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n"), F.col("need").alias("l"), F.col("root").alias("ra"), F.col("pos").alias("i"))
     right = rows.where(larger).select("token", "band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("need").alias("k"), F.col("root").alias("rb"), F.col("pos").alias("j"))
+    return left, right
+
+
+def crowded(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys at which more than ``CROWD`` pairs would meet, and into how many tiles each side is dealt."""
+    sides = left.select("token", "band", F.lit(1).alias("x"), F.lit(0).alias("y"), F.col("n").alias("p"), F.lit(0).alias("q"))
+    sides = sides.unionByName(right.select("token", "band", F.lit(0).alias("x"), F.lit(1).alias("y"), F.lit(0).alias("p"), F.col("m").alias("q")))
+    sums = sides.groupBy("token", "band").agg(*[F.sum(c).alias(c) for c in "xypq"]).where(F.col("x") * F.col("y") > CROWD)
+    tiles = lambda rows, shingles: F.ceil(F.greatest(F.col(rows) / TILE_NODES, F.col(shingles) / TILE_SHINGLES)).cast("int")
+    return staged(sums.select("token", "band", tiles("x", "p").alias("lefts"), tiles("y", "q").alias("rights")), "crowded")
+
+
+def remaining_pairs(left: DataFrame, right: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """All candidates between nodes of different components that meet as rows.
+
+    A similar pair meets on its first shared token too; there, all that it shares lies from
+    the token on, in both sets.
+    """
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    room = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     pairs = left.join(right, ["token", "band"]).where((F.col("ra") != F.col("rb")) & ordered & fits)
     pairs = staged(pairs.groupBy("a", "b").agg(*[F.first(x).alias(x) for x in ("n", "l", "m", "k")]), "met")
@@ -203,6 +229,75 @@ def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_possible(F.col("c"), F.col("n"), F.col("l"), F.col("m"), F.col("k"), percent)).select("a", "b")
 
 
+def tiled(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFrame:
+    """(token, band, one, two, larger, node, n, root, pos): the rows of crowded ``keys``, once for each tile they are compared with."""
+    keys = small(keys)
+    own = lambda node, count: F.pmod(F.xxhash64(node), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    first = left.join(keys, ["token", "band"]).select("token", "band", own("a", "lefts").alias("one"), every("rights").alias("two"), F.lit(False).alias("larger"), F.col("a").alias("node"), "n", F.col("ra").alias("root"), F.col("i").alias("pos"))
+    second = right.join(keys, ["token", "band"]).select("token", "band", every("lefts").alias("one"), own("b", "rights").alias("two"), F.lit(True).alias("larger"), F.col("b").alias("node"), F.col("m").alias("n"), F.col("rb").alias("root"), F.col("j").alias("pos"))
+    return first.unionByName(second)
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``, from matrix products over stretches of the shingles in both."""
+    flat = [np.concatenate(x), np.concatenate(y)]
+    both = np.intersect1d(*flat)
+    kind = np.float32 if max(len(s) for s in (*x, *y)) < 1 << 24 else np.float64  # counts that are exact
+    out = np.zeros((len(x), len(y)), kind)
+    entries = []
+    for sets, values in zip((x, y), flat, strict=True):
+        rows, found = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.isin(values, both)
+        columns, rows = np.searchsorted(both, values[found]), rows[found]
+        order = np.argsort(columns, kind="stable")
+        entries.append((columns[order], rows[order]))
+    for at in range(0, len(both), TILE_COLUMNS):
+        sides = []
+        for (columns, rows), sets in zip(entries, (x, y), strict=True):
+            part = slice(*np.searchsorted(columns, [at, at + TILE_COLUMNS]))
+            side = np.zeros((len(sets), min(TILE_COLUMNS, len(both) - at)), kind)
+            side[rows[part], columns[part] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def tile_links(rows: pa.Table, percent: int) -> pa.Table:
+    """The links (a, b) between a tile of smaller and one of larger sets, one for every two components."""
+    larger = rows.column("larger").to_numpy()
+    order = [np.flatnonzero(~larger), np.flatnonzero(larger)]
+    n, root, node, pos = (rows.column(c).to_numpy() for c in ("n", "root", "node", "pos"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+
+    def grid(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return values[order[0]][:, None], values[order[1]][None, :]
+
+    (x, y), (a, b), (i, j), (p, q) = grid(n), grid(node), grid(pos), grid(root)
+    fits = (p != q) & ((x < y) | ((x == y) & (a < b))) & (x * 100 >= y * percent)
+    fits &= np.minimum(x - i, y - j) * (100 + percent) >= (x + y) * percent
+    order = [order[0][fits.any(1)], order[1][fits.any(0)]]
+    fits = fits[fits.any(1)][:, fits.any(0)]
+    if not fits.size:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    held = rows.column("held")
+    both = shared_counts(*[[np.frombuffer(held[k].as_buffer(), np.uint64) for k in side.tolist()] for side in order])
+    one, two = np.nonzero(fits)
+    shared = both[one, two].astype(np.int64)
+    one, two = order[0][one], order[1][two]
+    similar = 100 * shared >= percent * (n[one] + n[two] - shared)
+    one, two = one[similar], two[similar]
+    _, first = np.unique(np.stack([np.minimum(root[one], root[two]), np.maximum(root[one], root[two])]), axis=1, return_index=True)
+    return pa.table({"a": node[one[first]], "b": node[two[first]]})
+
+
+def crowd_links(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links between components in crowded lists: every two tiles of ``tiled`` rows are compared on whole sets."""
+    ship_package(rows.sparkSession)
+    wide = rows.join(held, "node")
+    links = wide.groupBy("token", "band", "one", "two").applyInArrow(lambda t: tile_links(t, percent), "a long, b long")
+    return staged(links.distinct(), "crowd")
+
+
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after further links: components of the old roots, so that rows grow with roots."""
     ends = links.select("a", "b")
@@ -216,17 +311,29 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_roots(posts: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of all linked nodes: stars first, then every candidate between components."""
+    """(node, root) of all linked nodes: stars first, then every candidate between components, as rows or in tiles."""
     links = verified(staged(star_pairs(posts, percent), "stars"), texts, nodes, size, percent)
     roots = staged(components(links), "roots")
     live = live_lists(posts, roots)
-    rest = staged(remaining_pairs(live, percent), "remaining")
-    return merged(roots, verified(rest, texts, nodes, size, percent)) if rest.head(1) else roots
+    left, right = meetings(live, percent)
+    keys = crowded(left, right)
+    if not keys.head(1):
+        rest = staged(remaining_pairs(left, right, live, percent), "remaining")
+        return merged(roots, verified(rest, texts, nodes, size, percent)) if rest.head(1) else roots
+    listed = small(keys.select("token", "band"))
+    rest = staged(remaining_pairs(left.join(listed, ["token", "band"], "left_anti"), right.join(listed, ["token", "band"], "left_anti"), live, percent), "remaining")
+    tiles = staged(tiled(left, right, keys), "tiles")
+    held = whole_sets(ends_of(rest).unionByName(tiles.select("node")).distinct(), texts, nodes, size)
+    links = similar_pairs(rest, held, percent).unionByName(crowd_links(tiles, held, percent))
+    return merged(roots, links)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, held): the whole set of each node of ``wanted``, as bytes."""
     keys = staged(nodes.join(wanted, "node", "left_semi").select("text_key"), "wanted")
 
     def sets(batches):
@@ -239,7 +346,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["node", "held"])
 
     held = over_arrow(keep_listed(docs, keys, ["text_key"]), sets, "node long, held binary").groupBy("node").agg(F.first("held").alias("held"))
-    held = staged(held, "sets")
+    return staged(held, "sets")
+
+
+def similar_pairs(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose ``held`` sets are similar enough."""
 
     def similar(batches):
         for batch in batches:
@@ -255,6 +366,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, per
     return staged(over_arrow(joined.select("a", "b", "x", "y"), similar, "a long, b long"), "similar")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    return similar_pairs(pairs, whole_sets(ends_of(pairs).distinct(), docs, nodes, size), percent)
+
+
 def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Per row its set size, text key, component and the component's root node (null for empty sets)."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
