@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import over_arrow, slices, table
+from codeloom.llm.common import over_arrow, slices, table, trim
 from codeloom.llm.range_coder import decode_file, encode_file
 from codeloom.llm.totals import part_offsets
 from codeloom.llm.words_tokenizer import BATCH_BYTES, vocabulary_path, worker_tokenizer
@@ -43,6 +43,7 @@ class TokenFiles:
             for batch in batches:
                 for row in range(batch.num_rows):
                     x = batch.slice(row, 1).to_pylist()[0]
+                    trim()
                     ids = decode_file(x["data"]).astype("<u4")
                     lens = np.array(x["lens"], np.int64)
                     ends = np.cumsum(lens)
@@ -76,6 +77,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, key: str = "doc_id"
         tokenizer = worker_tokenizer(path)
 
         def close():
+            trim()
             data = encode_file(np.concatenate(ids))
             row = {"part": [part], "seq": [seq], "base": [base], "n_tokens": [held], "keys": [np.concatenate(keys)], "lens": [np.concatenate(lens)], "data": [data]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("base", pa.int64()), ("n_tokens", pa.int64()), ("keys", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())]))

@@ -16,7 +16,7 @@ from codeloom.llm.common import Words, buffers, not_space, ranges
 
 VOCABULARY = "word_bpe_49k.json"
 MEMO_WORDS = 500_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,60})([.,;:!?]*)")
 
 
@@ -55,11 +55,10 @@ class WordTokenizer:
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.chars = np.concatenate([self.chars, chars])
         self.ids = np.concatenate([self.ids, ids])
-        slots = np.concatenate([self.slots, len(self.starts) + np.arange(len(words))])
+        at = np.searchsorted(self.hashes, hashes)  # the new ones ascend, so both are merged in order
+        self.slots = np.insert(self.slots, at, len(self.starts) + np.arange(len(words)))
+        self.hashes = np.insert(self.hashes, at, hashes)
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes)
-        self.hashes, self.slots = hashes[order], slots[order]
 
     def _batch(self, texts: list[str]):
         return (self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
