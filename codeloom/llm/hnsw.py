@@ -13,6 +13,7 @@ NEIGHBOURS = 12
 BUILD_BEAM = 32
 SHRINK = 16  # a layer has about one node in so many of the layer below
 STEP = 256  # queries that walk together
+NUMBERS = 1 << 22  # of candidates' vectors that are held at a time
 
 
 def levels_of(keys: np.ndarray) -> np.ndarray:
@@ -71,6 +72,9 @@ def choose(vectors: np.ndarray, ids: np.ndarray, near: np.ndarray, most: int) ->
     A candidate is kept if it is nearer to the node than to any kept one; free places go to the
     best of the others. Without this, a tight cluster would link to itself alone.
     """
+    step = max(1, NUMBERS // max(1, ids.shape[1] * vectors.shape[1]))
+    if len(ids) > step:
+        return np.concatenate([choose(vectors, ids[at : at + step], near[at : at + step], most) for at in range(0, len(ids), step)])
     near = np.where(ids < 0, -2, near)
     held = vectors[np.maximum(ids, 0)]
     between = held @ held.transpose(0, 2, 1)
@@ -140,9 +144,12 @@ class Graph:
         ids = np.concatenate([links[owners].astype(np.int64), offered], axis=1)
         ids.sort(axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        near = np.where(ids >= 0, np.einsum("qkd,qd->qk", self.vectors[np.maximum(ids, 0)], self.vectors[owners]), -2)
-        order = np.argsort(-near, axis=1, kind="stable")
-        links[owners] = choose(self.vectors, np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1), most)
+        step = max(1, NUMBERS // max(1, ids.shape[1] * self.vectors.shape[1]))
+        for at in range(0, len(owners), step):
+            own, mine = owners[at : at + step], ids[at : at + step]
+            near = np.where(mine >= 0, np.einsum("qkd,qd->qk", self.vectors[np.maximum(mine, 0)], self.vectors[own]), -2)
+            order = np.argsort(-near, axis=1, kind="stable")
+            links[own] = choose(self.vectors, np.take_along_axis(mine, order, 1), np.take_along_axis(near, order, 1), most)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entry = self.entries(queries, len(self.layers) - 1, len(self.vectors))
