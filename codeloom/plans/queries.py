@@ -846,7 +846,7 @@ def validation_summary(spark, sf_dir):
 @query
 def validation_warnings(spark, sf_dir):
     methods = _methods(spark, sf_dir)
-    rows = validation.warnings(methods)
+    rows = stage(validation.warnings(methods), run_folder(spark, "warnings"))
     first = validation.first_warnings(rows).select(
         "report_id", "module_pos", "method_pos", F.lit(True).alias("shown")
     )
